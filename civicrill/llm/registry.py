@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicrill.llm import bpe, simhash
+from civicrill.llm import bpe, decontaminate, simhash
 from civicrill.llm.common import read
 
 
@@ -21,9 +21,14 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
