@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicrill.llm import bpe, decontaminate, quality, secrets, simhash
+from civicrill.llm import bpe, decontaminate, pii, quality, secrets, simhash
 from civicrill.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -35,6 +39,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
+    "op2_pii_boosting": op2_pii_boosting,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_quality_rules": op8_quality_rules,
