@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicrill.llm import bpe, decontaminate, pii, quality, secrets, simhash
+from civicrill.llm import bpe, decontaminate, licenses, pii, quality, secrets, simhash
 from civicrill.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_license_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_boosting": op2_pii_boosting,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_license_similarity": op7_license_similarity,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
