@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicrill.llm import bpe, decontaminate, licenses, pii, quality, secrets, simhash
+from civicrill.llm import bpe, decontaminate, licenses, pii, quality, secrets, simhash, toxicity
 from civicrill.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_pii_boosting": op2_pii_boosting,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_similarity": op7_license_similarity,
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 ORACLE: dict[str, str] = {}
