@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from civicrill.llm import bpe, decontaminate, licenses, pii, quality, secrets, simhash, toxicity
+from civicrill.llm import bpe, decontaminate, licenses, ordering, pii, preference, quality, secrets, simhash, toxicity
 from civicrill.llm.common import read
 
 
+#: Key of the training order; another key gives another order of the same sequences.
+TRAINING_KEY = "epoch-0"
+
+
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -20,6 +23,15 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.neighbours(read(spark, sf_dir, "conversations"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = ordering.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ordering.shards(ordering.sequences(read(spark, sf_dir, "documents"), tokens), TRAINING_KEY)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -48,6 +60,8 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_pii_boosting": op2_pii_boosting,
+    "op3_preference_pairs": op3_preference_pairs,
+    "op4_training_order": op4_training_order,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_license_similarity": op7_license_similarity,
