@@ -270,9 +270,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold any window of the benchmark."""
-    rows = cut(numbered(docs), "decontaminate-rows")
-    bad = locate(rows, benchmark, id_col, text, matches=False, keep=(ROW,)).filter("n_hit > 0").select(ROW)
-    return rows.join(bad, ROW, "left_anti").drop(ROW)
-
-
-__all__ = ["locate", "remove_affected", "report", "suffix_array", "search"]
+    rows = cut(numbered(docs).withColumnRenamed(ROW, "__key"), "decontaminate-rows")
+    bad = locate(rows, benchmark, id_col, text, matches=False, keep=("__key",)).filter("n_hit > 0").select("__key")
+    return rows.join(bad, "__key", "left_anti").drop("__key")

@@ -3,8 +3,8 @@
 The 64 bits are split into six blocks; two fingerprints that differ in at most three bits agree on at
 least three of the six, so each of the 20 choices of three blocks gives one join key of about 32 bits.
 Equal fingerprints are folded first. A key's bucket is compared inside bounded pieces (large buckets as
-pairs of sub-blocks), and a piece emits only a spanning forest of its links, never all its pairs: the
-links between different fingerprints are all verified, but components need no more than a forest.
+pairs of sub-blocks), and a piece emits one pair for each member of a component, never all its pairs: every link
+inside a piece is verified, and components need no more.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _key(fp: Column, blocks: tuple[int, ...], nth: int) -> Column:
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each piece, a forest over the links of its fingerprints: (a, b) with a > b."""
+    """For each piece, the components that verified links make of its fingerprints: (a, b) with b the least member of a's component."""
     for pdf in batches:
         out: list[np.ndarray] = []
         for fps in pdf["fps"]:
@@ -87,7 +87,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Forest links (a, b) among the distinct fingerprints in column fp; joined over all keys they connect exactly what links of 3 bits connect."""
+    """Pairs (member, least member of its component in a piece) of the distinct fingerprints in column fp; together they connect exactly what links of 3 bits connect."""
     keys = F.array(*[_key(F.col("fp"), c, i) for i, c in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))])
     rows = distinct.select("fp", F.explode(keys).alias("key"))
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"), "simhash-buckets")
