@@ -1,20 +1,10 @@
-"""Catalogue of the civic queries: each entry pairs a Spark query with equivalent SQL."""
+"""Catalogue of the civic queries: each entry pairs a Spark query with equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from civicrill.plans import money  # noqa: F401  registers its queries
+from civicrill.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "counterparty_totals"
 
-FLAGSHIP = "money_counterparties"
-
-
-def money_counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly amounts per counterparty, unknown amounts counted apart from zero."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("contracts"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"money_counterparties": money_counterparties}
-ORACLE: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
