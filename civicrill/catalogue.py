@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicrill.plans import money  # noqa: F401  registers its queries
+from civicrill.plans import money, votes  # noqa: F401  they register their queries
 from civicrill.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "counterparty_totals"
