@@ -126,7 +126,7 @@ def search(x: np.ndarray, order: np.ndarray, grid: np.ndarray) -> tuple[np.ndarr
 
 
 def shard_matches(texts: list[list[bytes]], tests: Tests, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, unique window, place in the document) of all occurrences, document by document."""
+    """(document, unique windows, places in the document) of all occurrences, document by document."""
     number: dict[bytes, int] = defaultdict(count(1).__next__)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.r_[0, np.cumsum(lengths + 1)]
@@ -175,6 +175,24 @@ def _union(which: np.ndarray, place: np.ndarray, tests: Tests) -> list[tuple[int
     return list(zip(place[head].tolist(), stop[tail].tolist(), strict=True))
 
 
+def _shards(texts: pd.Series, n_words: np.ndarray | None = None) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of the texts with words, in shards of about SHARD_WORDS; ``n_words`` gets every text's count."""
+    rows, shard, size = [], [], 0
+    for k, text in enumerate(texts):
+        ws = words_of(text)
+        if n_words is not None:
+            n_words[k] = len(ws)
+        if ws:
+            rows.append(k)
+            shard.append(ws)
+            size += len(ws)
+        if size >= SHARD_WORDS:
+            yield rows, shard
+            rows, shard, size = [], [], 0
+    if rows:
+        yield rows, shard
+
+
 def _scan(docs: DataFrame, sent: Broadcast, window: int, matches: bool) -> DataFrame:
     keep = [c for c in docs.columns if c != "__bytes"]
 
@@ -185,9 +203,7 @@ def _scan(docs: DataFrame, sent: Broadcast, window: int, matches: bool) -> DataF
             spans: list[list] = [[] for _ in range(len(pdf))]
             items: list[list] = [[] for _ in range(len(pdf))]
             found: list[list] = [[] for _ in range(len(pdf))]
-            texts, rows, size = [], [], 0
-
-            def shard(texts: list[list[bytes]], rows: list[int], spans=spans, items=items, found=found) -> None:
+            for rows, texts in _shards(pdf["__bytes"], n_words):
                 for d, which, place in shard_matches(texts, tests, window):
                     k = rows[d]
                     spans[k] = _union(which, place, tests)
@@ -197,19 +213,6 @@ def _scan(docs: DataFrame, sent: Broadcast, window: int, matches: bool) -> DataF
                     items[k] = sorted({tests.items[i] for i in np.unique(tests.item[tests.by[at]]).tolist()})
                     if matches:
                         found[k] = _longest(tests, which, place)
-
-            for k, text in enumerate(pdf["__bytes"]):
-                ws = words_of(text)
-                n_words[k] = len(ws)
-                if ws:
-                    texts.append(ws)
-                    rows.append(k)
-                    size += len(ws)
-                if size >= SHARD_WORDS:
-                    shard(texts, rows)
-                    texts, rows, size = [], [], 0
-            if texts:
-                shard(texts, rows)
             out = pdf[keep].assign(n_words=n_words, __spans=[[{"start": a, "stop": b} for a, b in s] for s in spans], __items=items)
             if matches:
                 out["matches"] = [[dict(zip(("item_id", "item_start", "doc_start", "length"), m, strict=True)) for m in f] for f in found]
@@ -268,8 +271,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def remove_affected(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold any window of the benchmark."""
-    rows = cut(numbered(docs).withColumnRenamed(ROW, "__key"), "decontaminate-rows")
-    bad = locate(rows, benchmark, id_col, text, matches=False, keep=("__key",)).filter("n_hit > 0").select("__key")
-    return rows.join(bad, "__key", "left_anti").drop("__key")
+def remove_affected(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows that hold any window of the benchmark; one narrow pass for each block, no shuffle of texts."""
+    for part in blocks(benchmark, item_col, item_text, window):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+        docs = docs.filter(~_affected(sent, window)(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return docs
+
+
+def _affected(sent: Broadcast, window: int):
+    @F.pandas_udf("boolean")
+    def affected(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        for rows, words in _shards(texts):
+            for d, _, _ in shard_matches(words, sent.value, window):
+                hit[rows[d]] = True
+        return pd.Series(hit)
+
+    return affected

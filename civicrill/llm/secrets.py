@@ -102,13 +102,22 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with live-looking values masked and, if there is one, the length column brought up to date. Examples stay."""
+    """``docs`` with live-looking values masked and, if there is one, the length column brought up to date. Examples stay.
+
+    What is masked depends on the text and on corpus-wide counts only, so texts are known by their digest, and only
+    texts with candidates are joined with verdicts; all others pass straight through.
+    """
     repo = F.col("source") if repo is None else repo
     owner = F.substring_index(repo, "/", 1) if owner is None else owner
-    rows = cut(numbered(docs).withColumnRenamed(ROW, "__key"), "secrets-rows")
-    found = candidates(rows, repo, owner, text, keep=("__key",))
-    live = verdicts(found, keep=("__key",)).select("__key", ordered(F.filter("__all", lambda s: s["n_owners"] < EXAMPLE_OWNERS)).alias("__live")).filter(F.size("__live") > 0)
-    changed = rows.join(live, "__key").withColumn(text, masked(F.col(text), F.col("__live")))
+    may = F.coalesce(F.col(text), F.lit("")).rlike("|".join(f"(?:{f.pattern})" for f in (*BASE, *WIDER)))
+    key = F.sha2(F.col(text), 256)
+    some = docs.filter(may)
+    named = some.select(key.alias("__key"), F.col(text).alias("__text"), repo.alias("__r"), owner.alias("__o"))
+    found = verdicts(candidates(named, F.col("__r"), F.col("__o"), "__text", keep=("__key",)), keep=("__key",))
+    live = found.select("__key", ordered(F.filter("__all", lambda s: s["n_owners"] < EXAMPLE_OWNERS)).alias("__live")).filter(F.size("__live") > 0)
+    one = cut(live.groupBy("__key").agg(F.first("__live").alias("__live")), "secrets-live")
+    changed = some.withColumn("__key", key).join(one, "__key", "left").withColumn("__new", F.coalesce(masked(F.col(text), F.col("__live")), F.col(text)))
+    new = {text: F.col("__new")}
     if length in docs.columns:
-        changed = changed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return rows.join(live.select("__key"), "__key", "left_anti").select(docs.columns).unionByName(changed.select(docs.columns))
+        new[length] = F.when(F.col("__live").isNotNull(), F.length("__new").cast(docs.schema[length].dataType)).otherwise(F.col(length))
+    return docs.filter(~may).unionByName(changed.withColumns(new).select(docs.columns))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicrill.llm.common import ROW, cut, numbered
+from civicrill.llm.common import cut
 
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MAX_BITS = 3
@@ -142,10 +142,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the smallest id (null last), of equal ids the first row read."""
-    rows = cut(numbered(docs), "simhash-rows")
-    marked = cut(fingerprints(rows.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), ROW)), "simhash")
-    distinct = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")), "simhash-distinct")
+    """``docs`` with one row of each near-duplicate component: the smallest id (null last); of equal ids and texts, any one row.
+
+    Rows are known by a 128-bit digest of id and text, so only the final semi-join moves texts.
+    """
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("null"))))
+    marked = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), key.alias("__key"), F.col(text).alias("text"))), "simhash")
+    distinct = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")), "simhash-distinct")
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(named.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
+    keep = cut(named.select(F.col("first.__key").alias("__key")), "simhash-keep")
+    kept = docs.withColumn("__key", key).join(keep, "__key", "left_semi")
+    if marked.join(keep, "__key", "left_semi").groupBy("__key").count().filter("count > 1").isEmpty():
+        return kept.drop("__key")
+    return kept.dropDuplicates(["__key"]).drop("__key")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicrill.llm.common import ROW, cut, numbered
+from civicrill.llm.common import cut
 
 #: Labelled rows at most, the first by hash of their id.
 SAMPLE_ROWS = 6_000
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     joined = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = joined.mapInPandas(run, f"doc_id {kind}, toxic int, features array<string>, words array<string>")
-    sample = cut(numbered(seen.select("doc_id", "features", *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())])), "toxicity")
+    sample = cut(seen.select("doc_id", "features", *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())]), "toxicity")
     ys = [f"__y{i}" for i in range(len(categories))]
     last = ys[-1]
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(last).alias("k")).first()
@@ -208,8 +208,12 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the chain calls toxic."""
-    rows = cut(numbered(docs), "toxicity-rows")
-    bad = score(rows, train(rows, labels), keep=(ROW,)).filter("toxic").select(ROW)
-    return rows.join(bad, ROW, "left_anti").drop(ROW)
+def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that the chain calls toxic; one narrow pass, no shuffle of texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.chances(texts.tolist())[:, -1] >= sent.value.limit)
+
+    return docs.filter(~toxic(F.coalesce(F.col(text), F.lit(""))))
