@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,8 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Tag, pattern over unaccented text, weight; small invented rules.
 RULES = (("licence", "licen[sc]e|mit|apache", 3), ("contact", "@|\\+[0-9]", 2), ("secret", "token|secret|password", 4), ("table", "\\|", 2), ("english", "\\bthe\\b", 1), ("german", "\\bund\\b|\\bder\\b", 1), ("french", "\\bdes\\b|\\ble\\b", 1), ("spanish", "\\blos\\b|\\bque\\b", 1))
+#: The same patterns for Java, whose own word edges take in letters beyond ASCII, such as the ß that unaccented text keeps.
+EDGED = tuple((tag, re.sub(r"\\b(\w+)\\b", r"(?<![a-z0-9_])\1(?![a-z0-9_])", pattern), weight) for tag, pattern, weight in RULES)
 _HEAD, _BODY = "substr(t, 1, 80)", "substr(t, 1, 6000)"
 
 
@@ -99,7 +103,7 @@ SELECT d.doc_id, coalesce(string_agg(tag, ',' ORDER BY n), 'other') AS tags FROM
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX24: weighted rules, a hit at the head counts three times; at most three tags, none becomes other. The rules are a short list, so they become columns, not a join."""
     d = _documents(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.substring("t", 1, 80).alias("h"), F.substring("t", 1, 6000).alias("b"))
-    hits = F.array(*[F.struct((-F.lit(w) * F.when(F.col("h").rlike(p), 3).when(F.col("b").rlike(p), 1).otherwise(0)).alias("score"), F.lit(i).alias("prio"), F.lit(t).alias("tag")) for i, (t, p, w) in enumerate(RULES)])
+    hits = F.array(*[F.struct((-F.lit(w) * F.when(F.col("h").rlike(p), 3).when(F.col("b").rlike(p), 1).otherwise(0)).alias("score"), F.lit(i).alias("prio"), F.lit(t).alias("tag")) for i, (t, p, w) in enumerate(EDGED)])
     best = F.slice(F.array_sort(F.filter(hits, lambda x: x["score"] <= -3)), 1, 3)
     return d.select("doc_id", F.coalesce(F.nullif(F.array_join(F.transform(best, lambda x: x["tag"]), ","), F.lit("")), F.lit("other")).alias("tags"))
 
@@ -109,7 +113,7 @@ SELECT doc_id, CASE WHEN MAX(n) >= 2 THEN arg_max(tag, (n, tag)) ELSE 'other' EN
 def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX25: the tag of most occurrences, the head counted twice."""
     d = _documents(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.concat_ws(" ", "t", F.substring("t", 1, 80)).alias("t"))
-    best = F.array_max(F.array(*[F.struct(F.regexp_count("t", F.lit(p)).cast("long").alias("n"), F.lit(t).alias("tag")) for t, p, _ in RULES]))
+    best = F.array_max(F.array(*[F.struct(F.regexp_count("t", F.lit(p)).cast("long").alias("n"), F.lit(t).alias("tag")) for t, p, _ in EDGED]))
     return d.withColumn("x", best).select("doc_id", F.when(F.col("x.n") >= 2, F.col("x.tag")).otherwise("other").alias("tag"), F.col("x.n").alias("occurrences"))
 
 
