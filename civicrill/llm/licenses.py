@@ -1,16 +1,20 @@
 """License scans by an exact set-similarity join.
 
-A text block is a line. A template matches a block when the block holds at least THRESHOLD of the template's
-distinct words. The words of the templates are ordered by their frequency over all blocks, rarest first: a block
+A text block is a line, or a run of words that crosses line ends: wrapped notices stand in several lines. A template
+matches a line when the line holds at least THRESHOLD of the template's distinct words, and a text when any run of
+the template's own length over THRESHOLD does. Runs are joined in overlapping pieces, each twice the longest run, so
+that every run lies whole in one piece wherever it starts. The words of the templates are ordered by their frequency over all blocks, rarest first: a block
 that reaches the threshold must share a word of the template's prefix (prefix filter), must have enough words
 (length filter), and the place of the first shared word bounds how many can follow (positional filter). Pairs
-that pass the filters are verified exactly.
+that pass the filters are verified exactly, a piece by each of its runs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import ceil
 
 import pandas as pd
@@ -45,6 +49,8 @@ class Template:
     no: int
     label: str
     words: frozenset[bytes]
+    #: Words of the text that one match over line ends may take.
+    span: int
 
     @property
     def needed(self) -> int:
@@ -54,7 +60,27 @@ class Template:
 def templates(texts=TEMPLATES) -> list[Template]:
     if len(texts) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    return [Template(i, label, frozenset(words_of(t.encode()))) for i, (t, label) in enumerate(texts)]
+    split = [(words_of(t.encode()), label) for t, label in texts]
+    return [Template(i, label, frozenset(ws), ceil(len(ws) / THRESHOLD - 1e-9)) for i, (ws, label) in enumerate(split)]
+
+
+def pieces(each: list[list[bytes]], vocabulary: frozenset[bytes], run: int, least: int) -> Iterator[list[tuple[int, bytes]]]:
+    """(place, word) of the template words of each 2 * run words, from every run-th word on, that cross a line end.
+
+    A piece within one line holds no more than its line, and one with fewer than ``least`` distinct words matches nothing.
+    """
+    edges = [0, *accumulate(len(ws) for ws in each)]
+    known: dict[int, list[tuple[int, bytes]]] = {}
+    for line, ws in enumerate(each):
+        for place, w in enumerate(ws, edges[line]):
+            if w in vocabulary:
+                known.setdefault(place // run, []).append((place, w))
+    for k in known.keys() | {k - 1 for k in known if k}:
+        if bisect_right(edges, k * run) == bisect_right(edges, min((k + 2) * run, edges[-1]) - 1):
+            continue
+        found = known.get(k, []) + known.get(k + 1, [])
+        if len({w for _, w in found}) >= least:
+            yield found
 
 
 def phrase_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
@@ -68,11 +94,14 @@ def phrase_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
 
 
 def blocks(docs: DataFrame, phrases=PHRASES, texts=TEMPLATES, text: str = "text") -> DataFrame:
-    """One row per input row, written to the shared folder: n_words, base places, and the distinct template words of each line.
+    """One row per input row, written to the shared folder: n_words, base places, and the distinct template words of each block.
 
     Words outside all templates count towards no overlap and are left out; lines without a template word are too.
+    A piece of several lines has the places of its words beside them, a line none.
     """
-    vocabulary = frozenset().union(*[t.words for t in templates(texts)])
+    named = templates(texts)
+    vocabulary = frozenset().union(*[t.words for t in named])
+    longest, least = max((t.span for t in named), default=1), min((t.needed for t in named), default=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,17 +111,20 @@ def blocks(docs: DataFrame, phrases=PHRASES, texts=TEMPLATES, text: str = "text"
                 words = [w for ws in each for w in ws]
                 n_words.append(len(words))
                 base.append([{"start": s, "label": k} for s, k in phrase_places(words, phrases)])
-                lines.append([sorted(w.decode() for w in shared) for ws in each if (shared := vocabulary.intersection(ws))])
+                own = [{"words": sorted(w.decode() for w in shared), "places": []} for ws in each if (shared := vocabulary.intersection(ws))]
+                if len(each) > 1:
+                    own += [{"words": sorted({w.decode() for _, w in ws}), "places": [{"at": i, "word": w.decode()} for i, w in ws]} for ws in pieces(each, vocabulary, longest, least)]
+                lines.append(own)
             yield pdf.drop(columns="__bytes").assign(n_words=n_words, base=base, lines=lines)
 
     src = numbered(docs).select(ROW, "doc_id", F.col(text).cast("binary").alias("__bytes"))
-    return cut(src.mapInPandas(run, f"{ROW} long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, base array<struct<start:long,label:string>>, lines array<array<string>>"), "licenses")
+    return cut(src.mapInPandas(run, f"{ROW} long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, base array<struct<start:long,label:string>>, lines array<struct<words:array<string>,places:array<struct<at:int,word:string>>>>"), "licenses")
 
 
 def similar(found: DataFrame, texts=TEMPLATES) -> DataFrame:
-    """(ROW, label, containment) of all line-template pairs that reach THRESHOLD, the best of each row and label."""
+    """(ROW, label, containment) of all block-template pairs that reach THRESHOLD, the best of each row and label."""
     spark = found.sparkSession
-    lines = found.select(ROW, F.posexplode("lines").alias("line", "words"))
+    lines = found.select(ROW, F.posexplode("lines").alias("line", "block")).select(ROW, "line", "block.words", "block.places")
     named = templates(texts)
     # one row per template word: at most the length of the template list
     seen = {r["word"]: r["n"] for r in lines.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -100,11 +132,11 @@ def similar(found: DataFrame, texts=TEMPLATES) -> DataFrame:
     rows = []
     for t in named:
         order = sorted((w.decode() for w in t.words), key=rank.__getitem__)
-        rows += [(w, t.no, t.label, order, t.needed, place) for place, w in enumerate(order[: len(order) - t.needed + 1])]
-    prefix = spark.createDataFrame(rows, "word string, no int, label string, template array<string>, needed int, place int")
+        rows += [(w, t.no, t.label, order, t.needed, t.span, place) for place, w in enumerate(order[: len(order) - t.needed + 1])]
+    prefix = spark.createDataFrame(rows, "word string, no int, label string, template array<string>, needed int, span int, place int")
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     sorted_words = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda s: s["w"])
-    probes = lines.filter(F.size("words") >= min((t.needed for t in named), default=1)).select(ROW, "line", sorted_words.alias("words")).select(ROW, "line", "words", F.posexplode("words").alias("at", "word"))
+    probes = lines.filter(F.size("words") >= min((t.needed for t in named), default=1)).select(ROW, "line", "places", sorted_words.alias("words")).select(ROW, "line", "places", "words", F.posexplode("words").alias("at", "word"))
     pairs = (
         probes.join(F.broadcast(prefix), "word")
         .filter(F.size("words") >= F.col("needed"))
@@ -112,15 +144,18 @@ def similar(found: DataFrame, texts=TEMPLATES) -> DataFrame:
         .filter(1 + F.least(F.size("words") - F.col("at") - 1, F.size("template") - F.col("place") - 1) >= F.col("needed"))
         .filter(F.col("place") == F.array_position("template", F.array_intersect("template", "words")[0]) - 1)
     )
-    overlap = F.size(F.array_intersect("words", "template"))
-    return pairs.filter(overlap >= F.col("needed")).groupBy(ROW, "label").agg(F.max(overlap / F.size("template")).alias("containment"))
+    whole = F.size(F.array_intersect("words", "template"))
+    own = F.filter("places", lambda p: F.array_contains("template", p["word"]))
+    run = lambda p: F.filter(own, lambda q: (q["at"] >= p["at"]) & (q["at"] < p["at"] + F.col("span")))
+    overlap = F.when(F.size("places") == 0, whole).otherwise(F.array_max(F.transform(own, lambda p: F.size(F.array_distinct(F.transform(run(p), lambda q: q["word"]))))))
+    return pairs.filter(whole >= F.col("needed")).filter(overlap >= F.col("needed")).groupBy(ROW, "label").agg(F.max(overlap / F.size("template")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, texts=TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a base phrase stands, else the best containment, else 0. Null text has no words. Lines end at
-    \\n; a phrase may run over lines, a template may not. Repeated rows and ids stay apart; other columns are ignored.
+    \\n; phrases and templates may run over lines. Repeated rows and ids stay apart; other columns are ignored.
     """
     found = blocks(docs.select("doc_id", "text"), phrases, texts)
     best = similar(found, texts).groupBy(ROW).agg(F.collect_list("label").alias("own"), F.max("containment").alias("best"))

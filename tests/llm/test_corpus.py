@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -318,6 +319,46 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_licenses_wrapped(spark):
+    """Each template wrapped at several widths, plain and as comments, deep in other text; and its words too far apart."""
+    texts, labels = [], []
+    for t, label in licenses.TEMPLATES:
+        for width in (16, 40, 72):
+            for mark in ("", " * "):
+                body = "".join(f"\n{mark}{x}" for x in textwrap.wrap(t, width))
+                texts += [f"{mark}{PROSE}{body}\n{PROSE}", f"{LONG}\n{'x ' * (7 * len(texts) % 61)}{body}\nend"]
+                labels += [label, label]
+        texts.append("\n".join(f"{w} {'x ' * 9}" for w in t.split()))
+        labels.append("")
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    for i, label in enumerate(labels):
+        assert (label in got[i]["labels"].split(",") and got[i]["score"] == 1) if label else (got[i]["labels"], got[i]["score"]) == ("", 0), texts[i][-300:]
+
+
+def test_licenses_runs_over_lines(spark):
+    """Random words of the templates and others, over short lines, against every run of the text."""
+    rng = np.random.default_rng(7)
+    split = [(WORDS.findall(t.translate(LOWER)), k) for t, k in licenses.TEMPLATES]
+    texts = []
+    for _ in range(150):
+        ws = [w for w in split[rng.integers(len(split))][0] if rng.random() < 0.95]
+        for _ in range(rng.integers(0, 5)):
+            ws.insert(rng.integers(len(ws) + 1), "x")
+        ws = ["a", "the"] * int(rng.integers(0, 40)) + ws + ["y"] * int(rng.integers(0, 9))
+        texts.append("".join(w + str(rng.choice(["\n", " ", " "])) for w in ws))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows(texts), DOCS), phrases=()).collect()}
+    for i, t in enumerate(texts):
+        flat, best = WORDS.findall(t.translate(LOWER)), {}
+        lines = [WORDS.findall(x.translate(LOWER)) for x in t.split("\n")]
+        for ws, k in split:
+            span = -(-len(ws) * 5 // 4)
+            for block in lines + [flat[j : j + span] for j in range(len(flat))]:
+                if (c := len(set(ws) & set(block)) / len(set(ws))) >= licenses.THRESHOLD:
+                    best[k] = max(c, best.get(k, 0))
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(best)), pytest.approx(max(best.values(), default=0))), t
+    assert len({r["labels"] for r in got.values()}) > 6
+
+
 # --- quality
 
 
