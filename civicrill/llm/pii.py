@@ -2,18 +2,22 @@
 
 Strict finders give the base spans. High-recall generators propose wider, overlapping spans; boosted trees over
 format and context features score them, and a threshold calibrated for each generator on held-out documents
-selects further redactions. A proposal is a positive example when it covers a base span: the trees learn what
-personal data look like in this corpus, without the checks (check digits, ranges) that made the base spans.
+selects further redactions. Two models are fitted. For the first, a proposal is a positive example when it covers a
+base span: the trees learn what personal data look like in this corpus, without the checks (check digits, ranges)
+that made the base spans. The second is for formats that no base pattern has: proposals that cover a base span are
+left out, and a weak label that the base patterns do not define (check digits of an account, a valid IPv6 address, a
+written-out mail address, a cue before a number) makes a positive example. Either may select.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicrill.llm.boosting import Pattern, fit, threshold
+from civicrill.llm.boosting import Model, Pattern, fit, threshold
 from civicrill.llm.common import ROW, cut, numbered
 from civicrill.llm.spans import Finder, fenced, find, joined, many, ordered
 
@@ -41,15 +45,42 @@ BASE = (
 PROPOSED = (
     Finder("mailbox", f"(?:\\G|(?<!{MAIL_LEFT})){MAIL_LEFT}{{1,64}}+(?:\\x20?[@＠]\\x20?|\\x20?[\\[(](?:at|AT)[\\])]\\x20?)[A-Za-z0-9-]{{1,63}}+(?:\\x20?(?:\\.|[\\[(](?:dot|DOT)[\\])])\\x20?[A-Za-z0-9-]{{1,63}}+){{1,8}}+"),
     Finder("number", "[+(]?[0-9](?:[\\x20()./-]{0,3}[0-9]){6,30}+"),
-    Finder("address", "(?:\\G|(?<![0-9A-Fa-f:.]))[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+"),
+    Finder("address", "(?:\\G|(?<![0-9A-Fa-f:.]))(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+|[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+)"),
     Finder("account", "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3})?"),
 )
 #: Words that announce personal data, as text before a span; fixed list.
 CUES = "(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|account|iban|address|ip|host|server|telefon|konto|karte|carte|correo|tarjeta|cuenta|téléphone)[^\\p{L}]{0,6}$"
+#: Words that announce a number of a person, as whole words; of the same list.
+NUMBER_CUES = "(?i)(?<!\\p{L})(?:phone|tel|call|fax|mobile|contact|card|visa|account|telefon|konto|karte|carte|tarjeta|cuenta|téléphone)[^\\p{L}]{0,6}$"
 PRECISION, SUPPORT = 0.98, 20
 TREES, DEPTH = 16, 3
 
 
+def _mod97(x: Column) -> Column:
+    """The check of an account number: 15 to 34 characters, remainder 1 with the first four moved to the end."""
+    plain = F.translate(x, " ", "")
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4))), "")
+    rest = F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
+def _ipv6(x: Column) -> Column:
+    groups = F.size(F.filter(F.split(x, ":"), lambda g: g != ""))
+    return ~x.contains(".") & F.when(x.contains("::"), groups <= 7).otherwise(groups == 8)
+
+
+def weak(s: Column) -> Column:
+    """Whether a proposal is an example of its generator's format by a check that no base pattern makes."""
+    x = s["value"]
+    return (
+        F.when(s["kind"] == "account", _mod97(x))
+        .when(s["kind"] == "address", _ipv6(x))
+        .when(s["kind"] == "mailbox", x.rlike("(?i)[\\[(](?:at|dot)[\\])]") & x.rlike("[A-Za-z]{2}$"))
+        .otherwise(s["before"].rlike(NUMBER_CUES))
+    )
+
+
 def _bucket(x: Column, *edges: int) -> Column:
     """0 below the first edge, 1 below the second, and so on."""
     out = F.lit(len(edges))
@@ -59,7 +90,7 @@ def _bucket(x: Column, *edges: int) -> Column:
 
 
 def features(s: Column) -> list[Column]:
-    """Small categories of one proposed span; their sizes multiply to the bound on patterns (4*8*4*2*4*2*4*4*2*3*2)."""
+    """Small categories of one proposed span; their sizes multiply to the bound on patterns (4*8*4*2*4*2*4*4*3*3*2*4)."""
     x, d = s["value"], digits(s["value"])
     side = lambda c: F.when(c == "", 0).when(c.rlike("^\\s$"), 1).when(c.rlike("^[\\p{L}\\p{N}_]$"), 2).otherwise(3)
     return [
@@ -71,48 +102,61 @@ def features(s: Column) -> list[Column]:
         F.when(x.rlike("[@＠]"), 1).otherwise(0),
         side(F.right(s["before"], F.lit(1))),
         side(s["after"]),
-        F.when(s["before"].rlike(CUES), 1).otherwise(0),
+        F.when(s["before"].rlike(NUMBER_CUES), 2).when(s["before"].rlike(CUES), 1).otherwise(0),
         F.when(x.rlike("[()\\[\\]]"), 1).when(x.rlike("[\\x20/-]"), 2).otherwise(0),
         F.when(x.rlike("[A-Za-z]"), 1).otherwise(0),
+        F.when(x.contains("::"), 3).otherwise(_bucket(F.length(x) - F.length(F.translate(x, ":", "")), 1, 7)),
     ]
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row, written to the shared folder: ``keep``, __base and __proposed (start, stop, no, kind, label, f)."""
+    """One row per input row, written to the shared folder: ``keep``, __base and __proposed (start, stop, no, kind, label, weak, f)."""
     src = numbered(docs).select(ROW, *keep, fenced(F.col(text)).alias("__clean"))
     base = src.select(ROW, *keep, F.concat(*[find(F.col("__clean"), f, i) for i, f in enumerate(BASE)]).alias("__base"), F.concat(*[find(F.col("__clean"), f, i) for i, f in enumerate(PROPOSED)]).alias("__wide"))
 
     def look(s: Column) -> Column:
         covers = F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["no"].alias("no"), s["kind"].alias("kind"), covers.alias("label"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["no"].alias("no"), s["kind"].alias("kind"), covers.alias("label"), F.coalesce(weak(s), F.lit(False)).alias("weak"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
 
     slim = F.transform("__base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "stop", "no", "kind")]))
     return cut(base.select(ROW, *keep, slim.alias("__base"), F.transform("__wide", look).alias("__proposed")), "pii")
 
 
 def train(found: DataFrame):
-    """(model, threshold by generator), from all proposals: even rows fit, odd rows calibrate."""
+    """(model, threshold by generator) of base likeness and of weak labels: even rows fit, odd rows calibrate.
+
+    Base likeness is learned without proposals that have a weak label alone, weak labels without those that cover a base span.
+    """
     seen = found.select((F.xxhash64(ROW) % 2 == 0).alias("fits"), F.explode("__proposed").alias("p"))
-    counted = seen.groupBy("fits", F.col("p.f").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p.label").cast("long")).alias("k")).collect()
-    parts = {side: [Pattern(tuple(r["f"]), r["n"], r["k"]) for r in counted if r["fits"] is side] for side in (True, False)}
-    model = fit(parts[True], TREES, DEPTH)
-    limits = {i: threshold(model, [p for p in parts[False] if p.values[0] == i], PRECISION, SUPPORT) for i in range(len(PROPOSED))}
-    return model, limits
+    counted = seen.groupBy("fits", "p.f", "p.label", "p.weak").agg(F.count(F.lit(1)).alias("n")).collect()
+    out = []
+    for positive in ("label", "weak"):
+        parts: dict[bool, dict[tuple, Pattern]] = {True: {}, False: {}}
+        for r in counted:
+            if r["label"] if positive == "weak" else r["weak"] and not r["label"]:
+                continue
+            p = parts[r["fits"]].setdefault(tuple(r["f"]), Pattern(tuple(r["f"]), 0, 0))
+            p.rows, p.positives = p.rows + r["n"], p.positives + r["n"] * r[positive]
+        model = fit(list(parts[True].values()), TREES, DEPTH)
+        limits = {i: threshold(model, [p for p in parts[False].values() if p.values[0] == i], PRECISION, SUPPORT) for i in range(len(PROPOSED))}
+        out.append((model, limits))
+    return out
 
 
 def selected(found: DataFrame) -> Column:
     """The proposals of a row that the trees select and no base span overlaps; numbered after the base kinds."""
-    model, limits = train(found)
+    models = [(model, limits) for model, limits in train(found) if any(map(isfinite, limits.values()))]
+    if not models:
+        return F.array().cast("array<struct<start:int,stop:int,no:int,kind:string>>")
 
-    def chosen(p: Column) -> Column:
+    def passes(p: Column, model: Model, limits: dict[int, float]) -> Column:
         score, limit = model.sql(lambda i: p["f"][i]), F.lit(None).cast("double")
         for i, t in limits.items():
             if isfinite(t):
                 limit = F.when(p["no"] == i, F.lit(t)).otherwise(limit)
-        return ~p["label"] & (score >= limit - 1e-9)
+        return F.coalesce(score >= limit - 1e-9, F.lit(False))
 
-    if not any(map(isfinite, limits.values())):
-        return F.array().cast("array<struct<start:int,stop:int,no:int,kind:string>>")
+    chosen = lambda p: ~p["label"] & reduce(lambda a, b: a | b, [passes(p, *m) for m in models])
     return F.transform(F.filter("__proposed", chosen), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), (p["no"] + len(BASE)).alias("no"), p["kind"].alias("kind")))
 
 

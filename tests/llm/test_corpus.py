@@ -140,6 +140,39 @@ def test_pii_selects_what_resembles_base(spark):
     assert all(got[i]["spans"] == "" for i in range(400, 480)) and all(got[i]["n_phone"] == 1 for i in range(400))
 
 
+def iban(country, bban):
+    number = "".join(str(int(c, 36)) for c in f"{bban}{country}00")
+    return f"{country}{98 - int(number) % 97:02d}{bban}"
+
+
+def test_pii_selects_formats_without_base_pattern(spark):
+    """Formats that overlap no base span, each beside look-alikes that are no personal data."""
+    fours = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+    planted, others = [], []
+    for i in range(160):
+        account = iban("DE", f"{37040044000000000 + 7919 * i:018d}")
+        planted += [("pay to account ", fours(account) if i % 2 else account, "account"), ("seen from host ", f"2001:db8:{i:x}:8a2e:370:7334:ab:{i + 4096:x}" if i % 2 else f"2001:db8:{i + 1:x}::{i + 4096:x}", "address")]
+        planted += [("write to ", f"jo.smith{i} [at] mail{i} [dot] example [dot] org", "mailbox"), ("our phone: ", f"0{i % 9 + 1}55 {2000 + i} {100 + i}", "number")]
+        others += [f"part AB{i % 90 + 10}CDEF{1000 + i}GHIJ", f"card 00:1a:2b:3c:4d:{i % 90 + 10} of the board", f"hotel {7000000 + i} and part number {1000000 + i}"]
+    texts = [f"{before}{value} today" for before, value, _ in planted] + others
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    found, bare = collections.Counter(), collections.Counter()
+    for i, (before, value, kind) in enumerate(planted):
+        if got[i]["n_card"] + got[i]["n_phone"] + got[i]["n_ip"] + got[i]["n_email"] == 0:
+            bare[kind] += 1
+            found[kind] += f"{kind}:{len(before)}:{len(before) + len(value)}" in got[i]["spans"].split(",")
+    assert found == bare and min(bare[k] for k in ("account", "address", "mailbox", "number")) > 100
+    assert [t for i, t in enumerate(texts) if i >= len(planted) and got[i]["n_selected"]] == []
+
+
+def test_pii_weak_labels(spark):
+    cases = [("account", "", "GB82 WEST 1234 5698 7654 32", True), ("account", "", "GB82WEST12345698765433", False), ("account", "", "DE89370400440532013000", True), ("address", "", "2001:db8:0:0:0:0:0:1", True), ("address", "", "fe80::1", True)]
+    cases += [("address", "", "00:1a:2b:3c:4d:5e", False), ("address", "", "1.2.3.4", False), ("mailbox", "", "a [at] b [dot] org", True), ("mailbox", "", "a@b.org", False), ("number", "my Tel. ", "2015550123", True), ("number", "hotel ", "2015550123", False)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind string, before string, value string, expected boolean")
+    s = F.struct("kind", "before", "value")
+    assert [tuple(r) for r in df.filter(pii.weak(s) != F.col("expected")).collect()] == []
+
+
 def test_boosting_learns_and_compiles(spark):
     patterns = [boosting.Pattern((a, b), 50, 48 if a == 1 and b == 2 else 1) for a in range(3) for b in range(4)]
     model = boosting.fit(patterns)
