@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicrill.functions.numbers import exact, ratio, total
 from civicrill.operators.keyed import first_by, islands, top_k
-from civicrill.plans.registry import query
+from civicrill.plans.registry import ORACLE, query
 from civicrill.sources.tables import table
 
 #: Ledger stand-in: a four-digit code of flag, status and quantity; price below 5000 is unknown.
@@ -103,7 +103,16 @@ g AS (SELECT *, SUM(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER
 SELECT org, CAST(MIN(a) AS VARCHAR) AS start, CASE WHEN MAX(far) < DATE '9999-12-31' THEN CAST(MAX(far) AS VARCHAR) END AS stop, COUNT(*) AS parts FROM g GROUP BY org, island""")
 def interval_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN07: intervals of office that touch or overlap become one; an open one absorbs the rest."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber > 4")
+    return _offices(table(spark, sf_dir, "lineitem").filter("l_linenumber > 4"))
+
+
+@query(ORACLE["interval_islands"].replace(" WHERE l_linenumber > 4", ""))
+def interval_islands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN07: interval_islands over all lines."""
+    return _offices(table(spark, sf_dir, "lineitem"))
+
+
+def _offices(li: DataFrame) -> DataFrame:
     start = F.to_date("l_shipdate")
     stop = F.when(~((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 49)), F.date_add(start, F.col("l_quantity").cast("int")))
     s = li.select(F.col("l_suppkey").alias("org"), start.alias("start"), stop.alias("stop"))

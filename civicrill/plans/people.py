@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicrill.functions import text as T
 from civicrill.functions.numbers import exact, ratio
 from civicrill.operators.keyed import top_k
-from civicrill.plans.registry import query
+from civicrill.plans.registry import ORACLE, query
 from civicrill.sources.tables import table
 
 
@@ -27,12 +27,23 @@ n AS (SELECT id, COUNT(*) AS hits, MIN(cid) AS least_cid, COUNT(*) FILTER (WHERE
 SELECT a.id, CASE WHEN hits = 1 THEN least_cid WHEN shared = 1 THEN by_place END AS assigned, CASE WHEN hits IS NULL THEN 'not found' WHEN hits = 1 THEN 'probable' WHEN shared = 1 THEN 'confirmed' ELSE 'ambiguous' END AS status FROM a LEFT JOIN n ON n.id = a.id""")
 def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN20: an identity is assigned only if unique, or if one candidate shares further evidence."""
-    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("place"), (F.col("s_suppkey") % 40).alias("name"))
-    b = table(spark, sf_dir, "customer").filter("c_custkey < 700").select(F.col("c_custkey").alias("cid"), F.col("c_nationkey").alias("b_place"), (F.col("c_custkey") % 40).alias("name"))
-    same = F.col("place") == F.col("b_place")
-    n = a.join(b, "name").groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.min("cid").alias("least_cid"), F.count_if(same).alias("shared"), F.min(F.when(same, F.col("cid"))).alias("by_place"))
+    return _identities(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").filter("c_custkey < 700"))
+
+
+@query(ORACLE["identity_resolution"].replace(" WHERE c_custkey < 700", ""))
+def identity_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN20: identity_resolution over all customers."""
+    return _identities(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"))
+
+
+def _identities(supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    """Candidates are counted by name, and by name and place, before they meet: no pairs are made."""
+    a = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("place"), (F.col("s_suppkey") % 40).alias("name"))
+    b = customer.select(F.col("c_custkey").alias("cid"), F.col("c_nationkey").alias("place"), (F.col("c_custkey") % 40).alias("name"))
+    named = b.groupBy("name").agg(F.count(F.lit(1)).alias("hits"), F.min("cid").alias("least_cid"))
+    placed = b.groupBy("name", "place").agg(F.count(F.lit(1)).alias("shared"), F.min("cid").alias("by_place"))
     status = F.when(F.col("hits").isNull(), "not found").when(F.col("hits") == 1, "probable").when(F.col("shared") == 1, "confirmed").otherwise("ambiguous")
-    return a.select("id").join(n, "id", "left").select("id", F.when(F.col("hits") == 1, F.col("least_cid")).when(F.col("shared") == 1, F.col("by_place")).alias("assigned"), status.alias("status"))
+    return a.join(named, "name", "left").join(placed, ["name", "place"], "left").select("id", F.when(F.col("hits") == 1, F.col("least_cid")).when(F.col("shared") == 1, F.col("by_place")).alias("assigned"), status.alias("status"))
 
 
 @query("""WITH o AS (SELECT DISTINCT p_brand AS organ, p_type AS word FROM part WHERE p_partkey < 120), m AS (SELECT DISTINCT 'Brand#' || (p_size % 30) AS organ, p_type AS word FROM part WHERE p_partkey < 150), s AS (SELECT m.organ AS minutes, o.organ AS board, COUNT(*) AS shared FROM m JOIN o USING (word) GROUP BY 1, 2),
@@ -41,8 +52,19 @@ SELECT n.organ AS minutes, coalesce(e.organ, b.board) AS board, CASE WHEN e.orga
 def organ_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN18: the exact name first, else most shared words; a tie stays unmatched."""
     p = table(spark, sf_dir, "part")
-    o = p.filter("p_partkey < 120").select(F.col("p_brand").alias("board"), F.col("p_type").alias("word")).distinct()
-    m = p.filter("p_partkey < 150").select(F.concat(F.lit("Brand#"), (F.col("p_size") % 30).cast("string")).alias("minutes"), F.col("p_type").alias("word")).distinct()
+    return _organs(p.filter("p_partkey < 120"), p.filter("p_partkey < 150"))
+
+
+@query(ORACLE["organ_matching"].replace(" WHERE p_partkey < 120", "").replace(" WHERE p_partkey < 150", ""))
+def organ_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN18: organ_matching over all parts."""
+    p = table(spark, sf_dir, "part")
+    return _organs(p, p)
+
+
+def _organs(boards: DataFrame, minutes: DataFrame) -> DataFrame:
+    o = boards.select(F.col("p_brand").alias("board"), F.col("p_type").alias("word")).distinct()
+    m = minutes.select(F.concat(F.lit("Brand#"), (F.col("p_size") % 30).cast("string")).alias("minutes"), F.col("p_type").alias("word")).distinct()
     s = m.join(o, "word").groupBy("minutes", "board").agg(F.count(F.lit(1)).alias("shared"))
     r = s.withColumn("r", F.rank().over(Window.partitionBy("minutes").orderBy(F.col("shared").desc()))).filter("r = 1")
     b = r.groupBy("minutes").agg(F.when(F.count(F.lit(1)) == 1, F.min("board")).alias("by_words"))
@@ -112,7 +134,16 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT c_nationkey AS recipient, o_orderpriority AS funder, CASE WHEN o_totalprice >= 100000 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0) SELECT recipient, COUNT(*) AS grants, COUNT(amount) AS priced, CAST(SUM(amount) AS DOUBLE) AS total, string_agg(DISTINCT funder, ',' ORDER BY funder) AS funders FROM g GROUP BY 1""")
 def grants_per_recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG31, PJ10: grants counted with unpriced ones, summed without, funders named once."""
-    o, c = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), table(spark, sf_dir, "customer")
+    return _grants(table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), table(spark, sf_dir, "customer"))
+
+
+@query(ORACLE["grants_per_recipient"].replace(" WHERE o_orderkey % 5 = 0", ""))
+def grants_per_recipient_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG31, PJ10: grants_per_recipient over all orders."""
+    return _grants(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def _grants(o: DataFrame, c: DataFrame) -> DataFrame:
     g = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("recipient"), F.col("o_orderpriority").alias("funder"), F.when(F.col("o_totalprice") >= 100000, exact(F.col("o_totalprice"))).alias("amount"))
     return g.groupBy("recipient").agg(F.count(F.lit(1)).alias("grants"), F.count("amount").alias("priced"), F.sum("amount").cast("double").alias("total"), F.array_join(F.array_sort(F.collect_set("funder")), ",").alias("funders"))
 

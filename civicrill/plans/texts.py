@@ -11,7 +11,7 @@ from civicrill.functions import text as T
 from civicrill.functions.numbers import ratio
 
 from civicrill.operators.text_match import frequencies, rare_matches, tokens_of, weighted_jaccard
-from civicrill.plans.registry import query
+from civicrill.plans.registry import ORACLE, query
 from civicrill.sources.tables import table
 
 #: The same word string in SQL.
@@ -146,6 +146,12 @@ def money_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("i", T.largest_amount(F.col("text")).alias("amount"))
 
 
+@query()
+def money_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX13, TX14: money_in_text over whole documents."""
+    return _documents(spark, sf_dir).select("doc_id", T.largest_amount(F.col("text")).alias("amount"))
+
+
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS BIGINT) AS masked, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[e-mail]', 'g')) AS text_md5 FROM documents""")
 def pii_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX32: addresses of persons replaced, and how many."""
@@ -214,9 +220,19 @@ def name_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, string_split(p_name, ' ')[1] AS head FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 = 1 AND p_partkey < 400), x AS (SELECT b.id, COUNT(DISTINCT a.name) AS options, MIN(a.name) AS full_name FROM b JOIN a ON a.head = string_split(b.name, ' ')[1] AND substr(a.name, length(a.head) + 2, 1) = substr(b.name, strpos(b.name, ' ') + 1, 1) GROUP BY 1) SELECT id, options, CASE WHEN options = 1 THEN full_name END AS resolved FROM x""")
 def abbreviated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN17: a surname with an initial stands for a full name only when exactly one fits."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("head"), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1).alias("initial"))
+    return _full_names(table(spark, sf_dir, "part"), "id % 3 = 1 and id < 400")
+
+
+@query(ORACLE["abbreviated_names"].replace("p_partkey % 3 = 1 AND p_partkey < 400", "p_partkey % 3 > 0"))
+def abbreviated_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN17: abbreviated_names over all parts: each is a full name or a short one."""
+    return _full_names(table(spark, sf_dir, "part"), "id % 3 > 0")
+
+
+def _full_names(part: DataFrame, shortened: str) -> DataFrame:
+    p = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("head"), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1).alias("initial"))
     full = p.filter("id % 3 = 0").groupBy("head", "initial").agg(F.countDistinct("name").alias("options"), F.min("name").alias("full_name"))
-    short = p.filter("id % 3 = 1 and id < 400").select("id", "head", "initial")
+    short = p.filter(shortened).select("id", "head", "initial")
     return short.join(full, ["head", "initial"]).select("id", "options", F.when(F.col("options") == 1, F.col("full_name")).alias("resolved"))
 
 
