@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from civicrill.operators.keyed import top_k
 
+#: Of sums of weights, against rounding; only filters of candidates have it.
+SLACK = 1e-6
+
 
 def tokens_of(df: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, token), distinct."""
@@ -18,20 +21,33 @@ def frequencies(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def weighted_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: DataFrame, cap: int, weight: Column) -> DataFrame:
-    """(a_key, b_key, shared, overlap, similarity) of all pairs that share a token carried by at most ``cap`` keys.
+def weighted_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: DataFrame, least: float, weight: Column) -> DataFrame:
+    """(a_key, b_key, shared, overlap, similarity) of all pairs whose similarity is ``least`` or more, which is above 0.
 
-    ``weight`` is an expression over df. Frequent tokens never make candidates, so the join stays near linear; they
-    do count in the similarity, which is exact.
+    ``weight`` is a positive expression over df. Tokens are ordered by frequency, rarest first. At its first shared
+    token a pair has no more overlap than the side ``a`` still holds from there: this rest must reach ``least`` of its
+    own weight (prefix filter) and what the overlap of two such weights needs (length and positional filters). No pair
+    at the threshold is lost, however frequent its tokens; each is verified once, at its first shared token.
     """
-    w = df.withColumn("w", weight)
-    rare = w.filter(F.col("df") <= cap).select("token")
-    candidates = a.join(rare, "token").join(b, "token").select(a_key, b_key).distinct()
-    sums = lambda t, k, name: t.join(w, "token").groupBy(k).agg(F.sum("w").alias(name))
-    shared = candidates.join(a.join(w, "token"), a_key).join(b, [b_key, "token"]).groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("overlap"))
-    both = shared.join(sums(a, a_key, "wa"), a_key).join(sums(b, b_key, "wb"), b_key)
+    w = df.withColumn("w", weight).join(a.select("token").distinct().withColumn("common", F.lit(True)), "token", "left")
+
+    def side(t: DataFrame, k: str, total: str, own: str) -> DataFrame:
+        """(k, total weight, its tokens that ``a`` has, in order)."""
+        listed = F.collect_list(F.when(F.col("common"), F.struct("df", "token", "w")))
+        return t.join(w, "token").groupBy(k).agg(F.sum("w").alias(total), F.array_sort(listed).alias(own)).filter(F.size(own) > 0)
+
+    weigh = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t["w"])
+    tokens = lambda x: F.transform(x, lambda t: t["token"])
+    prefix = side(a, a_key, "wa", "own").select(a_key, "wa", tokens(F.col("own")).alias("mine"), "own", F.posexplode("own").alias("at", "x"))
+    prefix = prefix.select(a_key, "wa", "mine", F.col("x.token").alias("token"), weigh(F.slice("own", F.col("at") + 1, F.size("own"))).alias("rest")).filter(F.col("rest") >= F.col("wa") * least - SLACK)
+    texts = side(b, b_key, "wb", "theirs").withColumn("most", weigh(F.col("theirs"))).select(b_key, "wb", "most", "theirs", F.explode(tokens(F.col("theirs"))).alias("token"))
+    needed = (F.col("wa") + F.col("wb")) * (least / (1 + least)) - SLACK
+    met = texts.join(prefix, "token").filter(F.least("rest", "most") >= needed)
+    shared = F.filter("theirs", lambda t: F.array_contains("mine", t["token"]))
+    first = met.withColumn("both", shared).filter(F.col("both")[0]["token"] == F.col("token")).withColumn("overlap", weigh(F.col("both")))
     union = F.col("wa") + F.col("wb") - F.col("overlap")
-    return both.select(a_key, b_key, "shared", F.col("overlap").cast("double").alias("overlap"), F.try_divide(F.col("overlap").cast("double"), union.cast("double")).alias("similarity"))
+    out = first.select(a_key, b_key, F.size("both").cast("long").alias("shared"), "overlap", F.try_divide(F.col("overlap"), union.cast("double")).alias("similarity"))
+    return out.filter(F.col("similarity") >= least)
 
 
 def rare_matches(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: DataFrame, cap: int, points: Column, least: int, k: int, rivals: int) -> DataFrame:
