@@ -54,9 +54,15 @@ def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKENS}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM tok), f AS (SELECT token, COUNT(*) AS df FROM tok GROUP BY 1) SELECT token, df, df / n AS share FROM f, n WHERE df >= 2""")
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX06: document frequencies; the weight ln(N / df) follows from df and share."""
+    return idf_weights_all(spark, sf_dir).filter("df >= 2")
+
+
+@query(ORACLE["idf_weights"].replace(" WHERE df >= 2", ""))
+def idf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX06: idf_weights of every token, those of one document included."""
     t = _tokens(spark, sf_dir)
     n = t.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
-    return frequencies(t, "doc_id").filter("df >= 2").crossJoin(F.broadcast(n)).select("token", "df", ratio(F.col("df"), F.col("n")).alias("share"))
+    return frequencies(t, "doc_id").crossJoin(F.broadcast(n)).select("token", "df", ratio(F.col("df"), F.col("n")).alias("share"))
 
 
 WEIGHT = "CASE WHEN df <= 2 THEN 8 WHEN df <= 10 THEN 5 WHEN df <= 50 THEN 3 ELSE 1 END"

@@ -31,3 +31,9 @@ def test_money_in_documents(spark, tmp_path):
     spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["amount"] for r in catalogue.QUERIES["money_in_documents"](spark, str(tmp_path)).collect()}
     assert {k: v if v is None else float(v) for k, v in got.items()} == {1: 397951000.0, 2: None, 3: None, 4: 3000000.0}
+
+
+def test_tokens_of_one_document_have_a_weight(spark, tmp_path):
+    spark.createDataFrame([(1, "river meadow"), (2, "river")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["token"]: (r["df"], float(r["share"])) for r in catalogue.QUERIES["idf_weights_all"](spark, str(tmp_path)).collect()}
+    assert got == {"river": (2, 1.0), "meadow": (1, 0.5)}
