@@ -169,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
             yield pdf[["doc_id", "toxic"]].assign(features=each, words=[[f[1:] for f in fs if f[0] == "="] for fs in each])
 
     # the sample has at most SAMPLE_ROWS rows of two numbers
-    joined = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
+    joined = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
+    # copies of an id fold before they shuffle; one text of each stays, whichever rows came first
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = joined.mapInPandas(run, f"doc_id {kind}, toxic int, features array<string>, words array<string>")
     sample = cut(seen.select("doc_id", "features", *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())]), "toxicity")

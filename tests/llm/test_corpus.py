@@ -499,6 +499,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.detect(empty, labels).collect() == []
 
 
+def test_toxicity_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *more: seen.append(len(rows)) or fit(rows, *more))
+    corpus = spark.createDataFrame([(i % 30 if i < 60 else 7, f"w{i} some words", "en", "s", 9) for i in range(300)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.detect(corpus, labels).count() == 300
+    assert seen == [20]
+
+
 def test_toxicity_features_agree():
     text = "Réeuxment réeuxpa réeuxoi idiot Idiot réeuxte"
     names = sorted(toxicity.features(text))
