@@ -18,23 +18,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (tests only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, a temporary one may stand in."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that lineage ends in files that survive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def cut(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that lineage ends in files that survive executors.
+
+    ``folders`` are columns whose values get folders of their own, so that a filter on them reads no other rows. All
+    files of an application lie in one folder, which discard_all() removes.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that cut() made, once all that was derived from it has been written elsewhere."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove all files that cut() wrote for this application; call it when the results have been used."""
+    _remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """A unique key for each row, equal doc_ids and equal rows included. Cut before using it twice."""
     return df.withColumn(ROW, F.monotonically_increasing_id())

@@ -6,7 +6,8 @@ selects further redactions. Two models are fitted. For the first, a proposal is
 base span: the trees learn what personal data look like in this corpus, without the checks (check digits, ranges)
 that made the base spans. The second is for formats that no base pattern has: proposals that cover a base span are
 left out, and a weak label that the base patterns do not define (check digits of an account, a valid IPv6 address, a
-written-out mail address, a cue before a number) makes a positive example. Either may select.
+written-out mail address, a cue before a number) makes a positive example. Either may select. Generators of a strict form
+find the parts of longer runs, such as two cards side by side, which a base pattern takes as one match and drops.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicrill.llm.boosting import Model, Pattern, fit, threshold
-from civicrill.llm.common import ROW, cut, numbered
-from civicrill.llm.spans import Finder, fenced, find, joined, many, ordered
+from civicrill.llm.common import cut
+from civicrill.llm.spans import Finder, fenced, find_all, holds, joined, let, many, ordered, runs, touches
 
 NOT_DIGIT = "[^0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -36,18 +37,23 @@ def _card(x: Column) -> Column:
 
 MAIL_LEFT = "[A-Za-z0-9._%+-]"
 BASE = (
-    Finder("email", f"(?:\\G|(?<!{MAIL_LEFT})){MAIL_LEFT}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"),
-    Finder("ip", "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", lambda x: x.rlike(f"^{PART}(?:\\.{PART}){{3}}$")),
+    Finder("email", f"(?:\\G|(?<!{MAIL_LEFT})){MAIL_LEFT}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", hint=holds("@")),
+    Finder("ip", "(?:\\G|(?<![0-9]))[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", lambda x: x.rlike(f"^{PART}(?:\\.{PART}){{3}}$"), hint=lambda t: t.rlike("\\.[0-9]")),
     Finder("card", "[0-9](?:[\\x20-]?[0-9]){13,}+", _card),
-    Finder("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", lambda x: F.length(digits(x)).between(10, 15)),
+    Finder("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", lambda x: F.length(digits(x)).between(10, 15), hint=holds("+")),
 )
 #: Generators for high recall; their spans overlap one another and the base spans.
 PROPOSED = (
     Finder("mailbox", f"(?:\\G|(?<!{MAIL_LEFT})){MAIL_LEFT}{{1,64}}+(?:\\x20?[@＠]\\x20?|\\x20?[\\[(](?:at|AT)[\\])]\\x20?)[A-Za-z0-9-]{{1,63}}+(?:\\x20?(?:\\.|[\\[(](?:dot|DOT)[\\])])\\x20?[A-Za-z0-9-]{{1,63}}+){{1,8}}+"),
     Finder("number", "[+(]?[0-9](?:[\\x20()./-]{0,3}[0-9]){6,30}+"),
-    Finder("address", "(?:\\G|(?<![0-9A-Fa-f:.]))(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+|[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+)"),
+    Finder("address", "(?:\\G|(?<![0-9A-Fa-f:.]))(?:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+|[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+)", hint=lambda t: t.rlike("[:.][0-9A-Fa-f]")),
     Finder("account", "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3})?"),
+    Finder("digits", "(?:\\G|(?<![0-9]))[0-9]{14,19}+(?![0-9])"),
+    Finder("dialled", "\\+[0-9]{1,3}[\\x20.-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})[\\x20.-]?[0-9]{3,4}[\\x20.-]?[0-9]{4}(?![0-9])", hint=holds("+")),
 )
+#: Generators of a strict form: a part of a longer run that a base pattern takes as a whole and then drops. Their weak
+#: labels hold for spans that base spans cover, too, which makes examples of them.
+STRICT = ("digits", "dialled")
 #: Words that announce personal data, as text before a span; fixed list.
 CUES = "(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|account|iban|address|ip|host|server|telefon|konto|karte|carte|correo|tarjeta|cuenta|téléphone)[^\\p{L}]{0,6}$"
 #: Words that announce a number of a person, as whole words; of the same list.
@@ -77,6 +83,8 @@ def weak(s: Column) -> Column:
         F.when(s["kind"] == "account", _mod97(x))
         .when(s["kind"] == "address", _ipv6(x))
         .when(s["kind"] == "mailbox", x.rlike("(?i)[\\[(](?:at|dot)[\\])]") & x.rlike("[A-Za-z]{2}$"))
+        .when(s["kind"] == "digits", _card(x))
+        .when(s["kind"] == "dialled", F.length(digits(x)).between(10, 15))
         .otherwise(s["before"].rlike(NUMBER_CUES))
     )
 
@@ -90,11 +98,11 @@ def _bucket(x: Column, *edges: int) -> Column:
 
 
 def features(s: Column) -> list[Column]:
-    """Small categories of one proposed span; their sizes multiply to the bound on patterns (4*8*4*2*4*2*4*4*3*3*2*4)."""
+    """Small categories of one proposed span; their sizes multiply to the bound on patterns (6*8*4*2*4*2*4*4*3*3*2*4*2)."""
     x, d = s["value"], digits(s["value"])
     side = lambda c: F.when(c == "", 0).when(c.rlike("^\\s$"), 1).when(c.rlike("^[\\p{L}\\p{N}_]$"), 2).otherwise(3)
     return [
-        s["no"],
+        s["no"] - len(BASE),
         _bucket(F.length(d), 1, 7, 10, 12, 14, 16, 20),
         _bucket(F.length(x) - F.length(d), 1, 3, 6),
         F.when(x.startswith("+"), 1).otherwise(0),
@@ -106,34 +114,40 @@ def features(s: Column) -> list[Column]:
         F.when(x.rlike("[()\\[\\]]"), 1).when(x.rlike("[\\x20/-]"), 2).otherwise(0),
         F.when(x.rlike("[A-Za-z]"), 1).otherwise(0),
         F.when(x.contains("::"), 3).otherwise(_bucket(F.length(x) - F.length(F.translate(x, ":", "")), 1, 7)),
+        F.when((s["kind"] == "digits") & _card(x), 1).otherwise(0),
     ]
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row, written to the shared folder: ``keep``, __base and __proposed (start, stop, no, kind, label, weak, f)."""
-    src = numbered(docs).select(ROW, *keep, fenced(F.col(text)).alias("__clean"))
-    base = src.select(ROW, *keep, F.concat(*[find(F.col("__clean"), f, i) for i, f in enumerate(BASE)]).alias("__base"), F.concat(*[find(F.col("__clean"), f, i) for i, f in enumerate(PROPOSED)]).alias("__wide"))
+    """One row per input row, written to the shared folder: ``keep``, __fits, __base and __proposed (start, stop, no, kind, label, weak, f).
 
-    def look(s: Column) -> Column:
-        covers = F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["no"].alias("no"), s["kind"].alias("kind"), covers.alias("label"), F.coalesce(weak(s), F.lit(False)).alias("weak"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
+    A hash of the text decides whether a row fits or calibrates, so copies stay on one side and no layout of files matters.
+    """
+    src = docs.select(*keep, (F.xxhash64(text) % 2 == 0).alias("__fits"), fenced(F.col(text)).alias("__clean"))
+    base = src.withColumn("__found", find_all(F.col("__clean"), base=BASE, wide=PROPOSED)).select(*keep, "__fits", F.col("__found.base").alias("__base"), F.col("__found.wide").alias("__wide"))
+
+    def look(grouped: Column) -> Column:
+        one = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (s["no"] - len(BASE)).alias("no"), s["kind"].alias("kind"), touches(grouped, s).alias("label"), F.coalesce(weak(s), F.lit(False)).alias("weak"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
+        return F.transform("__wide", one)
 
     slim = F.transform("__base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "stop", "no", "kind")]))
-    return cut(base.select(ROW, *keep, slim.alias("__base"), F.transform("__wide", look).alias("__proposed")), "pii")
+    return cut(base.select(*keep, "__fits", slim.alias("__base"), let(runs(F.col("__base")), look).alias("__proposed")), "pii")
 
 
 def train(found: DataFrame):
-    """(model, threshold by generator) of base likeness and of weak labels: even rows fit, odd rows calibrate.
+    """(model, threshold by generator) of base likeness and of weak labels; half of the texts fit, half calibrate.
 
-    Base likeness is learned without proposals that have a weak label alone, weak labels without those that cover a base span.
+    Base likeness is learned without proposals that have a weak label alone, weak labels without those that cover a base
+    span; only those of strict generators count there all the same.
     """
-    seen = found.select((F.xxhash64(ROW) % 2 == 0).alias("fits"), F.explode("__proposed").alias("p"))
+    strict = {i for i, f in enumerate(PROPOSED) if f.kind in STRICT}
+    seen = found.select(F.col("__fits").alias("fits"), F.explode("__proposed").alias("p"))
     counted = seen.groupBy("fits", "p.f", "p.label", "p.weak").agg(F.count(F.lit(1)).alias("n")).collect()
     out = []
     for positive in ("label", "weak"):
         parts: dict[bool, dict[tuple, Pattern]] = {True: {}, False: {}}
         for r in counted:
-            if r["label"] if positive == "weak" else r["weak"] and not r["label"]:
+            if r["label"] and r["f"][0] not in strict if positive == "weak" else r["weak"] and not r["label"]:
                 continue
             p = parts[r["fits"]].setdefault(tuple(r["f"]), Pattern(tuple(r["f"]), 0, 0))
             p.rows, p.positives = p.rows + r["n"], p.positives + r["n"] * r[positive]

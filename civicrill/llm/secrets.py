@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every candidate's value is hashed and counted by distinct repositories and owners over the whole corpus. A
-value that many owners carry is a widely copied example; a value of one owner looks live. Base candidates are
-always reported; candidates of the method's own, wider patterns are reported when they look live.
+value that many owners carry, or that very many repositories of several owners carry, is a widely copied example; any
+other value looks live. Base candidates are always reported; candidates of the method's own, wider patterns are reported when they look live.
 """
 
 from __future__ import annotations
@@ -11,64 +11,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicrill.llm.common import ROW, cut, numbered
-from civicrill.llm.spans import Finder, fenced, find, joined, many, ordered
+from civicrill.llm.spans import Finder, fenced, find_all, holds, joined, many, masked, ordered
 
-#: A value that so many owners carry is an example; fewer owners than that, and it looks live.
-EXAMPLE_OWNERS = 3
+#: A value is an example if so many owners carry it, or if more than one owner and so many repositories do; else it looks live.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 8
+#: A value of so many occurrences is joined without a shuffle. There is at most one such value for each HOT candidates.
+HOT = 100_000
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 BASE = (
-    Finder("assign", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= 6, lambda x: F.regexp_extract(x, ASSIGN, 1)),
-    Finder("access", "AKIA[A-Z0-9]{16,}+"),
+    Finder("assign", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 1)) >= 6, lambda x: F.regexp_extract(x, ASSIGN, 1), hint=holds("=", ":")),
+    Finder("access", "AKIA[A-Z0-9]{16,}+", hint=holds("AKIA")),
     Finder("hex", "[0-9a-f]{24,}+"),
 )
 WIDER = (
-    Finder("signed", "eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+"),
-    Finder("vendor", "(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+)"),
-    Finder("private", "-----BEGIN [A-Z\\x20]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{64,}+"),
+    Finder("signed", "eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", hint=holds("eyJ")),
+    Finder("vendor", "(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+)", hint=holds("gh", "xox", "sk_live_", "AIza")),
+    Finder("private", "-----BEGIN [A-Z\\x20]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{64,}+", hint=holds("-----BEGIN ")),
 )
 MASK = "[SECRET]"
+ALL = "array<struct<start:int,stop:int,no:int,kind:string,n_repos:bigint,n_owners:bigint,live:boolean>>"
 
 
-def candidates(docs: DataFrame, repo: Column, owner: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row, written to the shared folder: ROW, ``keep``, __repo, __owner, __base and __wider spans."""
-    src = numbered(docs).select(ROW, *keep, repo.cast("string").alias("__repo"), owner.cast("string").alias("__owner"), fenced(F.col(text)).alias("__clean"))
+def with_spans(src: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` with __base and __wider, the spans of a text with their values as digests."""
     slim = lambda spans: F.transform(spans, lambda s: s.withField("value", F.sha2(s["value"], 256)).dropFields("before", "after"))
-    found = src.select(
-        ROW,
-        *keep,
-        "__repo",
-        "__owner",
-        slim(F.concat(*[find(F.col("__clean"), f, i) for i, f in enumerate(BASE)])).alias("__base"),
-        slim(F.concat(*[find(F.col("__clean"), f, len(BASE) + i) for i, f in enumerate(WIDER)])).alias("__wider"),
-    )
-    return cut(found, "secrets")
+    found = src.withColumn("__clean", fenced(F.col(text))).withColumn("__found", find_all(F.col("__clean"), base=BASE, wider=WIDER))
+    return found.select(*keep, slim(F.col("__found.base")).alias("__base"), slim(F.col("__found.wider")).alias("__wider"))
+
+
+def candidates(docs: DataFrame, repo: Column, owner: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """One row per input row, written to the shared folder: ROW, ``keep``, __repo, __owner, __base and __wider spans."""
+    src = numbered(docs).select(ROW, *keep, repo.cast("string").alias("__repo"), owner.cast("string").alias("__owner"), F.col(text).alias("__text"))
+    return cut(with_spans(src, "__text", [ROW, *keep, "__repo", "__owner"]), "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repos, n_owners of every candidate value; hot values fold before each shuffle. A null repository counts as one."""
-    each = found.select("__owner", "__repo", F.explode(F.concat("__base", "__wider")).alias("s")).select(F.col("s.value").alias("hash"), "__owner", "__repo").distinct()
-    owned = each.groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("n"))
-    return owned.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
-
-
-def verdicts(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``found`` with __all: its spans with n_repos and n_owners; rows without candidates skip the shuffles."""
-    some = F.size("__base") + F.size("__wider") > 0
-    kind = "struct<start:int,stop:int,no:int,kind:string,n_repos:bigint,n_owners:bigint>"
-    counted = (
-        found.filter(some)
-        .select(ROW, F.explode(F.concat("__base", "__wider")).alias("s"))
-        .withColumn("hash", F.col("s.value"))
-        .join(ownership(found), "hash", "left")
-        .groupBy(ROW)
-        .agg(F.collect_list(F.struct("s.start", "s.stop", "s.no", "s.kind", "n_repos", "n_owners")).alias("__all"))
-    )
-    kept = found.select(ROW, *keep, F.size("__base").alias("__n_base"), some.alias("__some"))
-    return kept.filter("__some").join(counted, ROW, "left").unionByName(kept.filter("not __some").withColumn("__all", F.array().cast(f"array<{kind}>"))).drop("__some", "__n_base")
+    """hash, n, n_repos, n_owners of every candidate value; hot values fold before each shuffle. A null repository counts as one."""
+    each = found.select("__owner", "__repo", F.explode(F.concat("__base", "__wider")).alias("s")).groupBy(F.col("s.value").alias("hash"), "__owner", "__repo").agg(F.count(F.lit(1)).alias("n"))
+    owned = each.groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return owned.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """ROW and __all, the spans of each row that has any, with n_repos, n_owners and whether they look live.
+
+    A value of HOT occurrences meets its counts by broadcast, the others by a shuffle on the value, in which no key is hot.
+    """
+    owned = cut(ownership(found), "secrets-owned")
+    each = found.filter(F.size("__base") + F.size("__wider") > 0).select(ROW, F.explode(F.concat("__base", "__wider")).alias("s")).withColumn("hash", F.col("s.value"))
+    live = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, False).otherwise((F.col("n_owners") == 1) | (F.col("n_repos") < EXAMPLE_REPOS))
+    hot = owned.filter(F.col("n") >= HOT).select("hash", live.alias("hot_live"), F.col("n_repos").alias("hot_repos"), F.col("n_owners").alias("hot_owners"))
+    cold = owned.filter(F.col("n") < HOT).select("hash", live.alias("cold_live"), F.col("n_repos").alias("cold_repos"), F.col("n_owners").alias("cold_owners"))
+    first = each.join(F.broadcast(hot), "hash", "left")
+    # what is hot goes on under keys of its own, which the shuffle spreads
+    spread = first.withColumn("hash", F.when(F.col("hot_owners").isNotNull(), F.concat(F.lit("hot-"), F.col(ROW).cast("string"))).otherwise(F.col("hash")))
+    both = {c: F.coalesce(f"hot_{c}", f"cold_{c}").alias(f"n_{c}" if c != "live" else c) for c in ("repos", "owners", "live")}
+    return spread.join(cold, "hash", "left").groupBy(ROW).agg(F.collect_list(F.struct("s.start", "s.stop", "s.no", "s.kind", *both.values())).alias("__all"))
 
 
 def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, most_repos, most_owners.
 
     ``repo`` and ``owner`` default to the column source and its part before the first slash. Null text is empty and
     has no spans; a null source counts as one repository and owner; repeated rows and ids stay apart, other columns
@@ -76,48 +78,41 @@ def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = Non
     """
     repo = F.col("source") if repo is None else repo
     owner = F.substring_index(repo, "/", 1) if owner is None else owner
-    found = verdicts(candidates(docs, repo, owner))
-    base = F.filter("__all", lambda s: s["no"] < len(BASE))
-    live = F.filter("__all", lambda s: s["n_owners"] < EXAMPLE_OWNERS)
-    shown = F.filter("__all", lambda s: (s["no"] < len(BASE)) | (s["n_owners"] < EXAMPLE_OWNERS))
-    return found.select(
+    found = candidates(docs, repo, owner)
+    all_ = F.coalesce("__all", F.array().cast(ALL))
+    judged = found.select(ROW, "doc_id", "__base").join(verdicts(found), ROW, "left").select("doc_id", "__base", all_.alias("__all"))
+    live = F.filter("__all", lambda s: s["live"])
+    shown = F.filter("__all", lambda s: (s["no"] < len(BASE)) | s["live"])
+    most = lambda c: F.coalesce(F.array_max(F.transform("__all", lambda s: s[c])), F.lit(0)).cast("long").alias(f"most_{c[2:]}")
+    return judged.select(
         "doc_id",
-        *[many(base, f.kind).alias(f"n_{f.kind}") for f in BASE],
-        F.sha2(joined(ordered(base)), 256).alias("base_sha256"),
+        *[many(F.col("__base"), f.kind).alias(f"n_{f.kind}") for f in BASE],
+        F.sha2(joined(ordered(F.col("__base"))), 256).alias("base_sha256"),
         joined(ordered(shown)).alias("spans"),
         F.size(live).cast("long").alias("n_live"),
         (F.size("__all") - F.size(live)).cast("long").alias("n_examples"),
+        most("n_repos"),
+        most("n_owners"),
     )
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span (sorted by start; they may overlap) replaced by MASK."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["pos"]
-        return F.struct(F.greatest(s["pos"], x["stop"]).alias("pos"), F.when(fresh, F.concat(s["out"], F.substring(text, s["pos"] + 1, x["start"] - s["pos"]), F.lit(MASK))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.length(text))))
-
-
 def redact(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with live-looking values masked and, if there is one, the length column brought up to date. Examples stay.
 
-    What is masked depends on the text and on corpus-wide counts only, so texts are known by their digest, and only
-    texts with candidates are joined with verdicts; all others pass straight through.
+    Texts are searched once, in a pass that writes them with their spans to the shared folder, those with and those
+    without candidates apart. Only the former meet verdicts; the others are read back as they are.
     """
     repo = F.col("source") if repo is None else repo
     owner = F.substring_index(repo, "/", 1) if owner is None else owner
-    may = F.coalesce(F.col(text), F.lit("")).rlike("|".join(f"(?:{f.pattern})" for f in (*BASE, *WIDER)))
-    key = F.sha2(F.col(text), 256)
-    some = docs.filter(may)
-    named = some.select(key.alias("__key"), F.col(text).alias("__text"), repo.alias("__r"), owner.alias("__o"))
-    found = verdicts(candidates(named, F.col("__r"), F.col("__o"), "__text", keep=("__key",)), keep=("__key",))
-    live = found.select("__key", ordered(F.filter("__all", lambda s: s["n_owners"] < EXAMPLE_OWNERS)).alias("__live")).filter(F.size("__live") > 0)
-    one = cut(live.groupBy("__key").agg(F.first("__live").alias("__live")), "secrets-live")
-    changed = some.withColumn("__key", key).join(one, "__key", "left").withColumn("__new", F.coalesce(masked(F.col(text), F.col("__live")), F.col(text)))
-    new = {text: F.col("__new")}
-    if length in docs.columns:
-        new[length] = F.when(F.col("__live").isNotNull(), F.length("__new").cast(docs.schema[length].dataType)).otherwise(F.col(length))
-    return docs.filter(~may).unionByName(changed.withColumns(new).select(docs.columns))
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, inner, strict=True))
+    src = numbered(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], repo.cast("string").alias("__repo"), owner.cast("string").alias("__owner")))
+    found = cut(with_spans(src, own[text], [ROW, *inner, "__repo", "__owner"]).withColumn("__some", F.size("__base") + F.size("__wider") > 0), "secrets", "__some")
+    some, none = found.filter("__some"), found.filter("not __some")
+    live = verdicts(some.select(ROW, "__repo", "__owner", "__base", "__wider")).select(ROW, ordered(F.filter("__all", lambda s: s["live"])).alias("__live")).filter(F.size("__live") > 0)
+    # a name of its own: a select that replaces a column may take its new value for the old one in a lambda
+    changed = some.join(live, ROW, "left").withColumn("__new", F.when(F.col("__live").isNotNull(), masked(F.col(own[text]), F.col("__live"), MASK)))
+    new = {own[text]: F.coalesce("__new", own[text])}
+    if length in own:
+        new[own[length]] = F.coalesce(F.length("__new").cast(docs.schema[length].dataType), F.col(own[length]))
+    return none.select(inner).union(changed.select(*[new.get(k, F.col(k)).alias(f"__o{i}") for i, k in enumerate(inner)])).toDF(*docs.columns)
