@@ -57,19 +57,39 @@ def _covered(at: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; equal neighbours are found after sorting the windows."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", words[i], words[i + 1], words[i + 2]))
+    """Words inside 3-word windows that occur twice or more.
 
-    def places(s: Column) -> Column:
+    Windows are sorted as (hash, place), and equal neighbours are compared word by word. Should two unequal windows of a
+    text ever share a hash, its windows are sorted as strings instead.
+    """
+
+    def places(s: Column, same: Callable[[Column, Column], Column]) -> Column:
         n = F.size(s)
-        twins = F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-        return F.array_sort(F.array_distinct(F.flatten(twins)))
+        twins = F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda t: t.isNotNull()))))
+
+    def covered(at: Column) -> Column:
+        return F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(_covered(at))
+
+    starts = F.sequence(F.lit(0), F.size(words) - 3)
+    alike = lambda i, j: (words[i] == words[j]) & (words[i + 1] == words[j + 1]) & (words[i + 2] == words[j + 2])
+
+    def by_hash(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+
+        def judged(s: Column) -> Column:
+            n = F.size(s)
+            clash = F.exists(F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: (a["w"] == b["w"]) & ~alike(a["i"], b["i"])), lambda x: x)
+            return F.when(clash, by_string()).otherwise(_let(places(s, lambda a, b: a["w"] == b["w"]), covered))
+
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(pairs, judged))
 
-    def count(win: Column) -> Column:
-        sorted_ = F.array_sort(F.transform(win, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(_let(_let(sorted_, places), _covered))
+    def by_string() -> Column:
+        windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i")))
+        return _let(places(F.sort_array(windows), lambda a, b: a["w"] == b["w"]), covered)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(windows, count))
+    hashes = F.transform(starts, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(hashes, by_hash))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,17 +100,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         F.filter(F.split(body, BLANK), lambda w: w != "").alias("__words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(body, BLANK, "")).cast("long").alias("word_chars"),
     )
     counted = {
+        "word_chars": F.length(F.array_join("__words", "")),
         "n_words": F.size("__words"),
         "n_lines": F.size("__lines"),
         "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
         "n_repeat_words": repeat_words(F.col("__words")),
         "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))),
-        "n_capital_words": F.size(F.filter("__words", lambda w: w.rlike("^[^a-zß-öø-ÿ]*\\p{Lu}[^a-zß-öø-ÿ]*\\p{Lu}[^a-zß-öø-ÿ]*$"))),
+        "n_capital_words": F.size(F.filter("__words", lambda w: (F.upper(w) == w) & (F.length(F.translate(F.lower(w), "0123456789", "")) > 1) & (F.lower(w) != w))),
     }
-    return split.select("doc_id", "word_chars", "n_symbols", *[c.cast("long").alias(k) for k, c in counted.items()])
+    return split.select("doc_id", "n_symbols", *[c.cast("long").alias(k) for k, c in counted.items()])
 
 
 def compile_rules(rules: tuple[Rule, ...] = THRESHOLDS) -> tuple[Column, Column]:
