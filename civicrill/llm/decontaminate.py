@@ -6,7 +6,8 @@ equal prefixes gives the places, and places that continue each other on one diag
 verbatim matches. Shards need no shuffle, so documents never leave their partition.
 
 The benchmark is sent to the tasks in blocks of bounded size; when it needs more than one block, the
-shards are searched once for each block and the matches of a document are merged.
+shards are searched once for each block and the matches of a document are merged. An item longer than a block
+goes into several, which overlap by a window less one word, so that no window is lost.
 """
 
 from __future__ import annotations
@@ -43,14 +44,14 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Tests:
-    """Suffixes of one block of benchmark items, equal windows folded."""
+    """Suffixes of one block of benchmark items (id, place of the first word in the item, words), equal windows folded."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str, int, list[bytes]]], window: int):
         number: dict[bytes, int] = {}
-        self.items = [i for i, _ in items]
+        self.items = [i for i, _, _ in items]
+        self.ahead = np.array([a for _, a, _ in items], np.int64)
         flat, self.start, length = [], [], []
-        for _, text in items:
-            ws = words_of(text)
+        for _, _, ws in items:
             self.start.append(len(flat))
             length.append(len(ws))
             flat += [number.setdefault(w, len(number)) for w in ws]
@@ -158,7 +159,8 @@ def _longest(tests: Tests, which: np.ndarray, place: np.ndarray) -> list[tuple[s
     """Longest verbatim matches: occurrences of neighbouring windows on one diagonal of (item, document) run together."""
     counts = tests.first[which + 1] - tests.first[which]
     rows = tests.by[np.repeat(tests.first[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    doc_at, item, item_at, size = np.repeat(place, counts), tests.item[rows], tests.offset[rows], tests.size[rows]
+    doc_at, item, size = np.repeat(place, counts), tests.item[rows], tests.size[rows]
+    item_at = tests.offset[rows] + tests.ahead[item]
     by = np.lexsort((item_at, doc_at - item_at, item))
     doc_at, item, item_at, size = doc_at[by], item[by], item_at[by], size[by]
     joined = (item[1:] == item[:-1]) & (doc_at[1:] - item_at[1:] == doc_at[:-1] - item_at[:-1]) & (item_at[1:] <= item_at[:-1] + 1)
@@ -223,19 +225,39 @@ def _scan(docs: DataFrame, sent: Broadcast, window: int, matches: bool) -> DataF
 
 
 def blocks(benchmark: DataFrame, item_col: str, text: str, window: int) -> Iterator[Tests]:
-    """The benchmark's items in blocks of BLOCK_WORDS words, one at a time; an item is never split, nulls are left out."""
+    """The benchmark's items in blocks of BLOCK_WORDS words at most, one at a time; nulls and items without words are left out.
+
+    An item of more words goes into several blocks, each from window - 1 words before the last one's end.
+    """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text).cast("binary").alias("bytes")).filter("item is not null and bytes is not null")
+    most = max(BLOCK_WORDS, 2 * window)
     some, size, any_yet = [], 0, False
     for r in items.toLocalIterator():
-        some.append((r["item"], bytes(r["bytes"])))
-        size += len(r["bytes"]) // 2
-        if size >= BLOCK_WORDS:
+        words, at = words_of(bytes(r["bytes"])), 0
+        if some and size + len(words) > most:
             yield Tests(some, window)
             some, size, any_yet = [], 0, True
+        while len(words) - at > most:
+            yield Tests([(r["item"], at, words[at : at + most])], window)
+            any_yet, at = True, at + most - window + 1
+        if words:
+            some.append((r["item"], at, words[at:]))
+            size += len(words) - at
     if some or not any_yet:
         yield Tests(some, window)
 
 
+def _merged(matches: list[dict]) -> list[dict]:
+    """Matches of one document over several blocks: parts of one match lie on one diagonal and overlap."""
+    out: list[dict] = []
+    for m in sorted(matches, key=lambda m: (m["item_id"], m["doc_start"] - m["item_start"], m["item_start"], m["length"])):
+        if out and (o := out[-1])["item_id"] == m["item_id"] and o["doc_start"] - o["item_start"] == m["doc_start"] - m["item_start"] and m["item_start"] <= o["item_start"] + o["length"]:
+            o["length"] = max(o["length"], m["item_start"] + m["length"] - o["item_start"])
+        else:
+            out.append(dict(m))
+    return out
+
+
 def locate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, matches: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, columns of ``keep``, n_words, n_hit, item_ids (sorted as strings) and, if asked, matches.
 
@@ -260,22 +282,52 @@ def locate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         for x in each[1:]:
             both = both.unionByName(x)
         gathered = [F.first(c).alias(c) for c in ("doc_id", *keep, "n_words")] + [F.flatten(F.collect_list(c)).alias(c) for c in ("__spans", "__items", *(["matches"] * matches))]
-        found = both.groupBy(ROW).agg(*gathered).withColumns({"__items": F.array_sort(F.array_distinct("__items")), "__spans": F.array_sort("__spans")})
+        found = both.groupBy(ROW).agg(*gathered).withColumns({"__items": F.sort_array(F.array_distinct("__items")), "__spans": F.sort_array("__spans")})
+        if matches:
+            merge = F.pandas_udf(lambda column: column.map(lambda m: _merged(list(m))), MATCH)
+            found = found.withColumn("matches", merge("matches"))
     reached = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("stop")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], s["stop"]))).alias("n"), F.greatest(x["stop"], s["stop"]).alias("stop")))
     return found.select("doc_id", *keep, "n_words", reached["n"].alias("n_hit"), F.col("__items").alias("item_ids"), *(["matches"] * matches))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Counts and digests of locate() for each document."""
-    found = locate(docs, benchmark, matches=False)
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """Counts and digests of locate() for each document, and its longest verbatim match with both places.
+
+    longest (words; 0 without a match), longest_item, longest_item_start, longest_doc_start: of equally long matches the
+    first in the document, then the first item. n_matches counts all matches of a window or more (shorter items: whole).
+    """
+    found = locate(docs, benchmark)
+    best = F.array_min(F.transform("matches", lambda m: F.struct((-m["length"]).alias("less"), m["doc_start"].alias("doc_start"), m["item_id"].alias("item_id"), m["item_start"].alias("item_start"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(-F.col("best.less"), F.lit(0).cast("long")).alias("longest"),
+        F.col("best.item_id").alias("longest_item"),
+        F.col("best.item_start").alias("longest_item_start"),
+        F.col("best.doc_start").alias("longest_doc_start"),
+    )
 
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold any window of the benchmark; one narrow pass for each block, no shuffle of texts."""
-    for part in blocks(benchmark, item_col, item_text, window):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.filter(~_affected(sent, window)(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """``docs`` without the rows that hold any window of the benchmark; one narrow pass for each block, no shuffle of texts.
+
+    Of several blocks each pass is written to the shared folder, so that one block at a time is held by the tasks.
+    """
+    context = docs.sparkSession.sparkContext
+    clean = lambda df, sent: df.filter(~_affected(sent, window)(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    parts = blocks(benchmark, item_col, item_text, window)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return clean(docs, context.broadcast(first))
+    for part in chain((first, second), parts):
+        sent = context.broadcast(part)
+        docs = cut(clean(docs, sent), "decontaminate-clean")
+        sent.destroy()
     return docs
 
 
