@@ -1,6 +1,7 @@
 """Training-order materialisation: token sequences in a keyed random order, as shards of fixed stride.
 
-Documents become sequences of a fixed number of 16-bit token ids. Sequences are numbered densely; a keyed
+Documents become sequences of a fixed number of 16-bit token ids. They are numbered densely in the order of ids and
+texts, so that a rerun over other files or on more cores gives the same order; a keyed
 Feistel permutation with cycle-walking gives each number its slot in the training order, so the order needs no
 sort by random keys and any slot can be traced back. Slots are dealt to range partitions, each of which writes
 whole shards: slot s lies in shard s // SHARD at byte (s % SHARD) * stride, so readers resume anywhere.
@@ -80,10 +81,21 @@ class BytePairs:
         return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
 
+def arranged(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text in the order of id and text, range partitions one after the other; equal rows stand in any order, which no reader can tell.
+
+    The number of a row breaks the tie of equal rows, so one id or text with very many rows goes to several partitions.
+    """
+    keyed = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).withColumn("__digest", F.md5("text"))
+    order = ("doc_id", "__digest", ROW)
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def sequences(docs: DataFrame, tokens: BytePairs, length: int = SEQUENCE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, chunk, n_tokens, ids (binary, ``length`` little-endian 16-bit ids): a text's tokens and an end-of-text, the last sequence padded with it.
 
-    Null and empty texts give one sequence of end-of-text alone. Repeated rows give repeated sequences.
+    Null and empty texts give one sequence of end-of-text alone. Repeated rows give repeated sequences. The rows keep the
+    order of ``docs``, which arranged() makes.
     """
     end = tokens.end
     if end >= 1 << 16:
