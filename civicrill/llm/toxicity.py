@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories form a chain: each model sees the text's features and the probabilities that the models before it
-give. While training, those probabilities are out-of-fold predictions, so a later model learns from predictions
+The categories are label columns and form a chain: each model sees the text's features and the probabilities that the
+models before it give. While training, those probabilities are out-of-fold predictions, so a later model learns from predictions
 of the quality that it meets later. Models are fitted on a bounded, documented sample of labelled rows; every
 document is scored over its whole text.
 """
@@ -25,10 +25,8 @@ SAMPLE_ROWS = 6_000
 #: Features at most, the best by chi-square among those of MIN_ROWS rows or more.
 FEATURES, MIN_ROWS = 512, 5
 FOLDS, NEWTON, RIDGE = 5, 10, 1e-3
-#: Words of the two narrower categories; a labelled toxic text with one of them is an example. Fixed lists.
-INSULTS = ("idiot", "moron", "clown", "loser", "scum", "stupid", "fool", "imbecile")
-CONTEMPT = ("trash", "pathetic", "worthless", "disgusting", "garbage", "filth")
-CHAIN = ("insult", "contempt", "toxic")
+#: Label columns of 0 and 1 along the chain, where the table has them; 1 is turned to 0 for those of good texts. The last one decides.
+CHAIN, GOOD = ("quality", "toxic"), ("quality",)
 PREFIXES, COUNTS = (5, 7), (1, 2, 4)
 
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -43,7 +41,7 @@ def features(text: str | None) -> set[str]:
 
 @dataclass
 class Chain:
-    """Weights by category: features, then the earlier categories' log-odds, then a constant."""
+    """Weights by category: features, then the earlier categories' probabilities, then a constant."""
 
     names: tuple[str, ...]
     features: list[str]
@@ -72,11 +70,11 @@ class Chain:
         """A row of probabilities for each text, in the order of the chain."""
         known = [self.known(t) for t in texts]
         n = len(self.features)
-        odds = np.zeros((len(texts), len(self.names)))
+        p = np.zeros((len(texts), len(self.names)))
         for k, w in enumerate(self.weights):
             own = np.array([w[:n][i].sum() for i in known])
-            odds[:, k] = own + odds[:, :k] @ w[n : n + k] + w[-1]
-        return chance(odds)
+            p[:, k] = chance(own + p[:, :k] @ w[n : n + k] + w[-1])
+        return p
 
 
 def chance(odds: np.ndarray) -> np.ndarray:
@@ -126,57 +124,52 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + below) / 2)
 
 
-def fit(rows: list[tuple[int, list[int], list[int]]], names: tuple[str, ...], chosen: list[str]) -> Chain:
-    """rows: fold, numbers of the chosen features, labels along the chain."""
+def fit(rows: list[tuple[int, list[int], list[int | None]]], names: tuple[str, ...], chosen: list[str]) -> Chain:
+    """rows: fold, numbers of the chosen features, labels along the chain. A row without a label of a category does not fit its models, but gets their predictions."""
     n, m = len(rows), len(chosen)
     x = np.zeros((n, m), np.float32)
     for i, (_, has, _) in enumerate(rows):
         x[i, has] = 1
     fold = np.array([r[0] for r in rows], np.int64)
-    odds, weights, held = np.zeros((n, 0)), [], np.zeros(n)
+    earlier, weights = np.zeros((n, 0)), []
     for k in range(len(names)):
-        y = np.array([r[2][k] for r in rows], np.float64)
-        z = np.hstack([x, odds, np.ones((n, 1))]).astype(np.float32)
-        weights.append(logistic(z, y))
+        y = np.array([np.nan if r[2][k] is None else r[2][k] for r in rows], np.float64)
+        known = ~np.isnan(y)
+        z = np.hstack([x, earlier, np.ones((n, 1))]).astype(np.float32)
+        weights.append(logistic(z[known], y[known]))
         held = np.zeros(n)
         for f in range(FOLDS):
             out = fold == f
             if out.any():
-                held[out] = z[out] @ logistic(z[~out], y[~out])
-        odds = np.hstack([odds, held[:, None]])
-    return Chain(names, chosen, weights, best_limit(chance(held), np.array([r[2][-1] for r in rows], np.float64)))
+                held[out] = chance(z[out] @ logistic(z[known & ~out], y[known & ~out]))
+        earlier = np.hstack([earlier, held[:, None]])
+    return Chain(names, chosen, weights, best_limit(held, np.array([r[2][-1] for r in rows], np.float64)))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None) -> Chain:
-    """A chain fitted on at most SAMPLE_ROWS labelled documents. Rows with a null id, label or text are no examples.
+    """A chain fitted on at most SAMPLE_ROWS labelled documents. Rows with a null id, text or last label are no examples.
 
-    ``categories`` maps names to 0/1 labels over the columns toxic (0/1) and words (array of a text's words); the
-    last one decides.
+    ``categories`` maps names to 0/1 labels over the columns of ``labels``, in the order of the chain; the last one decides.
     """
     if categories is None:
-        toxic = F.col("toxic")
-        categories = {
-            "insult": toxic * F.arrays_overlap("words", F.array(*map(F.lit, INSULTS))).cast("int"),
-            "contempt": toxic * F.arrays_overlap("words", F.array(*map(F.lit, CONTEMPT))).cast("int"),
-            "toxic": toxic,
-        }
-    marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        there = [c for c in CHAIN if c in labels.columns]
+        categories = {f"low_{c}" if c in GOOD else c: 1 - F.col(c).cast("int") if c in GOOD else F.col(c).cast("int") for c in there}
+    ys = [f"__y{i}" for i in range(len(categories))]
+    last = ys[-1]
+    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(y) for y, c in zip(ys, categories.values(), strict=True)]).filter(F.col(last).isNotNull())
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            each = [sorted(features(t)) for t in pdf["text"]]
-            yield pdf[["doc_id", "toxic"]].assign(features=each, words=[[f[1:] for f in fs if f[0] == "="] for fs in each])
+            yield pdf.drop(columns="text").assign(features=[sorted(features(t)) for t in pdf["text"]])
 
-    # the sample has at most SAMPLE_ROWS rows of two numbers
+    # the sample has at most SAMPLE_ROWS rows of a few numbers
     joined = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
     # copies of an id fold before they shuffle; one text of each stays, whichever rows came first
-    joined = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = joined.mapInPandas(run, f"doc_id {kind}, toxic int, features array<string>, words array<string>")
-    sample = cut(seen.select("doc_id", "features", *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())]), "toxicity")
-    ys = [f"__y{i}" for i in range(len(categories))]
-    last = ys[-1]
+    joined = joined.groupBy("doc_id", *ys).agg(F.min("text").alias("text"))
+    # copies of a text share a fold, so none is predicted by a model that has seen it
+    folds = joined.select(*ys, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    sample = cut(folds.mapInPandas(run, folds.drop("text").withColumn("features", F.array(F.lit(""))).schema), "toxicity")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(last).alias("k")).first()
     n, k = totals["n"], totals["k"] or 0
     word = sample.select(last, F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.sum(last).alias("p")).filter(F.col("c") >= MIN_ROWS)
@@ -185,8 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     chosen = [r["feature"] for r in word.orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()] if 0 < k < n else []
     at = {f: i for i, f in enumerate(chosen)}
     own = F.filter("features", lambda f: f.isin(*chosen)) if chosen else F.array().cast("array<string>")
-    rows = sample.select((F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).cast("int").alias("fold"), own.alias("own"), *ys).collect()
-    return fit(sorted((r["fold"], sorted(at[f] for f in r["own"]), [r[y] for y in ys]) for r in rows), tuple(categories), chosen)
+    rows = [(r["fold"], sorted(at[f] for f in r["own"]), [r[y] for y in ys]) for r in sample.select("fold", own.alias("own"), *ys).collect()]
+    return fit(sorted(rows, key=lambda r: (r[0], r[1], [-1 if y is None else y for y in r[2]])), tuple(categories), chosen)
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -206,7 +199,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, toxic for every row of ``docs``; without labelled positives nothing is toxic."""
+    """doc_id, a probability p_<category> along the chain (p_low_quality, p_toxic) and toxic for every row of ``docs``; without labelled positives nothing is toxic."""
     return score(docs, train(docs, labels))
 
 
