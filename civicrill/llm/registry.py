@@ -24,12 +24,12 @@ def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.neighbours(read(spark, sf_dir, "conversations"))
+    return preference.earlier_answers(read(spark, sf_dir, "conversations"))
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ordering.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ordering.shards(ordering.sequences(read(spark, sf_dir, "documents"), tokens), TRAINING_KEY)
+    return ordering.shards(ordering.sequences(ordering.arranged(read(spark, sf_dir, "documents")), tokens), TRAINING_KEY)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_chain": op10_toxicity_chain,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_preference_pairs": preference.EARLIER_ANSWERS}

@@ -245,6 +245,46 @@ def test_preference(spark):
     assert preference.neighbours(df.limit(0)).collect() == []
 
 
+def plain_pair(turns):
+    """The same pair by hand: (n_prompt_turns, prompt, chosen, rejected)."""
+    t = sorted(turns, key=lambda x: tuple((v is not None, v if v is not None else 0 if k == 0 else "") for k, v in enumerate(x)))
+    say = lambda ts: "".join(f"<|{(r or '').replace('<|', '< |')}|>\n{(x or '').replace('<|', '< |')}<|end|>\n" for _, r, x in ts)
+    at = [i for i, (_, r, _) in enumerate(t) if r == "assistant"]
+    if len(at) < 2:
+        return 0, "", say(t), None
+    a, b = t[: at[-1] + 1], [*t[: at[-1]], (t[at[-1]][0], "assistant", t[at[-2]][2])]
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x[1:] != y[1:]), len(a))
+    return n, say(a[:n]), say(a[n:]), say(b[n:])
+
+
+def test_preference_against_earlier_answers(spark):
+    rng = np.random.default_rng(2)
+    words = ["hi", "é <|end|>", "", None, "ok " * 40_000, "no"]
+    turns = [(int(c), int(rng.integers(0, 6)) if rng.random() < 0.9 else None, [None, "user", "assistant", "assistant", "system"][rng.integers(5)], words[rng.integers(6)]) for c in range(60) for _ in range(rng.integers(1, 7))]
+    turns += [turns[0]] * 3 + [(None, 0, "assistant", "lost"), (900, 0, "assistant", "same"), (900, 1, "assistant", "same")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"prompt": F.lit("clash"), "t": F.lit(1), "at": F.lit(2)})
+    own = collections.defaultdict(list)
+    for c, *rest in turns:
+        own[c].append(tuple(rest))
+    got = {r["pair_id"]: r for r in preference.earlier_answers(df).collect()}
+    assert got.keys() == own.keys() - {None} and sum(r["n_prompt_turns"] > 0 for r in got.values()) > 10
+    for c, r in got.items():
+        assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == plain_pair(own[c])
+        for side in ("chosen", "rejected"):
+            spans = [tuple(map(int, x.split(":"))) for x in (r[f"{side}_loss"] or "").split(",") if x]
+            assert all(r[side][:a].endswith("<|assistant|>\n") and r[side][:b].endswith("<|end|>\n") for a, b in spans)
+            assert len(spans) == (r[side] or "").count("<|assistant|>\n")
+    assert preference.earlier_answers(df.limit(0)).collect() == []
+
+
+def test_preference_sql(spark):
+    from compare import differences
+
+    from civicrill.llm import registry
+
+    assert differences(spark, "/root/testdata/sf0.001", registry.QUERIES["op3_preference_pairs"], registry.ORACLE["op3_preference_pairs"]) == ""
+
+
 # --- training order
 
 
@@ -261,7 +301,7 @@ def test_training_order(spark, docs, empty, tmp_path):
     from pyarrow.fs import LocalFileSystem
 
     tokens = ordering.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    seqs = ordering.sequences(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), tokens, length=64)
+    seqs = ordering.sequences(ordering.arranged(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])), tokens, length=64)
     packed = ordering.shards(seqs, "key", shard=100).cache()
     manifest = sorted(ordering.write_shards(packed, f"file://{tmp_path}").collect(), key=lambda r: r["shard"])
     total = sum(r["n_sequences"] for r in manifest)
@@ -278,6 +318,18 @@ def test_training_order(spark, docs, empty, tmp_path):
     assert ordering.shards(ordering.sequences(empty, tokens), "key").collect() == []
 
 
+def test_training_order_is_the_same_in_any_layout(spark, docs):
+    """Null and repeated ids, repeated rows, clashing columns; other files, other partitions, the same shards."""
+    tokens = ordering.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    more = docs.unionByName(docs.filter("doc_id in (5, 10)")).unionByName(docs.filter("doc_id = 8").withColumn("doc_id", F.lit(5).cast("long"))).withColumns({"chunk": F.lit("own"), "slot": F.lit("own"), "ids": F.lit("own")})
+    packed = [sorted((r["shard"], r["sha256"], r["doc_ids"], r["chunks"]) for r in ordering.shards(ordering.sequences(ordering.arranged(more.repartition(n)), tokens, length=64), "key", shard=50).collect()) for n in (1, 7)]
+    assert packed[0] == packed[1] and len(packed[0]) > 3
+    placed = [(d, c) for _, _, ds, cs in packed[0] for d, c in zip(ds, cs, strict=True)]
+    encode = tokens.encoder()
+    want = collections.Counter((r["doc_id"], k) for r in more.select("doc_id", "text").collect() for k in range(-(-(len(encode(r["text"] or "")) + 1) // 64)))
+    assert collections.Counter(placed) == want
+
+
 # --- near-duplicates
 
 
@@ -376,64 +428,88 @@ def test_bpe_merge_ranks_ascend():
 # --- licenses
 
 
-def test_licenses(docs, empty):
-    names = [(frozenset(WORDS.findall(t.translate(LOWER))), k) for t, k in licenses.TEMPLATES]
+def license_labels(text):
+    """{label: best containment} by every block of the text, each begun by a word of the template."""
+    flat, best = WORDS.findall(text.translate(LOWER)), {}
+    for body, label, required, forbidden in licenses.TEMPLATES:
+        ws = WORDS.findall(body.translate(LOWER))
+        span, words = -(-len(ws) * 5 // 4), set(ws)
+        for j in (j for j, w in enumerate(flat) if w in words):
+            block = set(flat[j : j + span])
+            if set(required.split()) <= block and not block & set(forbidden.split()) and (c := len(words & block) / len(words)) >= licenses.THRESHOLD:
+                best[label] = max(c, best.get(label, 0))
+    return best
+
 
+def exact_labels(labels):
+    return {k for k in labels if k not in licenses.GENERIC or not any(x.startswith(f"{k}-") for x in labels)}
+
+
+def test_licenses(docs, empty):
     def of(t):
-        t = t.translate(LOWER)
-        w = WORDS.findall(t)
+        w = WORDS.findall(t.translate(LOWER))
         base = [(i, k) for p, k in licenses.PHRASES for i in range(len(w)) if w[i : i + len(q := p.split())] == q]
-        best = {}
-        for line in t.split("\n"):
-            s = set(WORDS.findall(line))
-            for words, k in names:
-                if (c := len(s & words) / len(words)) >= licenses.THRESHOLD:
-                    best[k] = max(best.get(k, 0), c)
-        at = [i for i, _ in base]
-        return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in base})), ",".join(sorted({k for _, k in base} | set(best))), 1.0 if base else max(best.values(), default=0.0)
+        best, at = license_labels(t), [i for i, _ in base]
+        mine = {k for k in best if k in exact_labels({*best, *[k for _, k in base]})}
+        return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in base})), ",".join(sorted({k for _, k in base} | mine)), 1.0 if base else max(best.values(), default=0.0)
 
     assert outcome(licenses.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == expected(docs, of)
     assert licenses.scan(empty).collect() == []
 
 
+STATED = [
+    ("Released under the GPL license.", "gpl"),
+    ("Released under the BSD License", "bsd"),
+    ("Licensed under CC BY 4.0", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"),  # the base phrase stays
+    ("This work is licensed under the GNU General Public License, version 2", "gpl-2"),
+    ("This work is licensed under the GNU Lesser General Public License", "lgpl"),
+    ("Licensed under the Mozilla License, version 2.0", "mpl-2"),
+    ("Licensed under the Apache\nLicense, Version 2.0", "apache-2"),
+    ("Licensed under the Apache License, Version 1.1", ""),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ""),
+    ("the this is a work licensed and under free to of use any copy person license", ""),
+]
+
+
+def test_licenses_tell_licenses_apart(spark):
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows([f"{PROSE}. {t}. {PROSE}" for t, _ in STATED]), DOCS)).collect()}
+    assert [got[i] for i in range(len(STATED))] == [label for _, label in STATED]
+
+
 def test_licenses_wrapped(spark):
     """Each template wrapped at several widths, plain and as comments, deep in other text; and its words too far apart."""
     texts, labels = [], []
-    for t, label in licenses.TEMPLATES:
-        for width in (16, 40, 72):
-            for mark in ("", " * "):
-                body = "".join(f"\n{mark}{x}" for x in textwrap.wrap(t, width))
-                texts += [f"{mark}{PROSE}{body}\n{PROSE}", f"{LONG}\n{'x ' * (7 * len(texts) % 61)}{body}\nend"]
-                labels += [label, label]
-        texts.append("\n".join(f"{w} {'x ' * 9}" for w in t.split()))
+    for t, label, _, _ in licenses.TEMPLATES:
+        for width, mark in ((16, ""), (40, " * "), (72, " * ")):
+            body = "".join(f"\n{mark}{x}" for x in textwrap.wrap(t, width))
+            texts += [f"{mark}{PROSE}{body}\n{PROSE}", f"{LONG}\n{'x ' * (7 * len(texts) % 61)}{body}\nend"]
+            labels += [label, label]
+        texts.append("\n".join(f"{w} {'x ' * 29}" for w in t.split()))
         labels.append("")
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows(texts), DOCS)).collect()}
     for i, label in enumerate(labels):
         assert (label in got[i]["labels"].split(",") and got[i]["score"] == 1) if label else (got[i]["labels"], got[i]["score"]) == ("", 0), texts[i][-300:]
 
 
-def test_licenses_runs_over_lines(spark):
-    """Random words of the templates and others, over short lines, against every run of the text."""
+def test_licenses_every_block(spark):
+    """Random words of the templates and others against every block of the text."""
     rng = np.random.default_rng(7)
-    split = [(WORDS.findall(t.translate(LOWER)), k) for t, k in licenses.TEMPLATES]
+    split = [WORDS.findall(t.translate(LOWER)) for t, *_ in licenses.TEMPLATES]
     texts = []
-    for _ in range(150):
-        ws = [w for w in split[rng.integers(len(split))][0] if rng.random() < 0.95]
+    for _ in range(250):
+        ws = [w for w in split[rng.integers(len(split))] if rng.random() < 0.95]
         for _ in range(rng.integers(0, 5)):
-            ws.insert(rng.integers(len(ws) + 1), "x")
-        ws = ["a", "the"] * int(rng.integers(0, 40)) + ws + ["y"] * int(rng.integers(0, 9))
+            ws.insert(rng.integers(len(ws) + 1), str(rng.choice(["x", "nc", "lesser", "sharealike", "3"])))
+        ws = ["a", "the"] * int(rng.integers(0, 60)) + ws + ["y"] * int(rng.integers(0, 9))
         texts.append("".join(w + str(rng.choice(["\n", " ", " "])) for w in ws))
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows(texts), DOCS), phrases=()).collect()}
     for i, t in enumerate(texts):
-        flat, best = WORDS.findall(t.translate(LOWER)), {}
-        lines = [WORDS.findall(x.translate(LOWER)) for x in t.split("\n")]
-        for ws, k in split:
-            span = -(-len(ws) * 5 // 4)
-            for block in lines + [flat[j : j + span] for j in range(len(flat))]:
-                if (c := len(set(ws) & set(block)) / len(set(ws))) >= licenses.THRESHOLD:
-                    best[k] = max(c, best.get(k, 0))
-        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(best)), pytest.approx(max(best.values(), default=0))), t
-    assert len({r["labels"] for r in got.values()}) > 6
+        best = license_labels(t)
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(exact_labels(best))), pytest.approx(max(best.values(), default=0))), t
+    assert len({r["labels"] for r in got.values()}) > 12
 
 
 # --- quality
@@ -473,7 +549,7 @@ def windows(items):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 2_000_000])
+@pytest.mark.parametrize("block", [3, 25, 2_000_000])
 def test_decontamination(spark, docs, empty, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     items = [(1, PROSE), (10, PROSE[:70]), (2, "beta5 the5 ALPHA6"), (3, None), (4, "..."), (5, "cc by nc"), (6, "a b c a b c a b c a b c a b c"), (7, "nothing of this is anywhere"), (2, "beta5 the5 ALPHA6")]
@@ -498,6 +574,39 @@ def test_decontamination(spark, docs, empty, monkeypatch, block):
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in expected(docs, of).items() if not k[-1])
 
 
+@pytest.mark.parametrize("block", [3, 23, 2_000_000])
+def test_longest_matches_against_brute_force(spark, monkeypatch, block):
+    """Long items in several blocks; every maximal match of a window or more, with its places."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(11)
+    say = lambda n: [f"v{k}" for k in rng.integers(0, 30, n)]
+    items = {str(i): say(int(n)) for i, n in enumerate([60, 75, 12, 10, 41])} | {"9": ["v1", "v2"]}
+    texts = []
+    for _ in range(12):
+        w = say(20)
+        for _ in range(3):
+            own = items[str(rng.integers(5))]
+            a = int(rng.integers(0, len(own)))
+            w += own[a : a + int(rng.integers(5, 80))] + say(3)
+        texts.append(" ".join(w))
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id string, text string")
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    got = {r["doc_id"]: r for r in decontaminate.locate(docs, bench).collect()}
+    short = {r["doc_id"]: r for r in decontaminate.report(docs, bench).collect()}
+    for i, t in enumerate(texts):
+        w, want = t.split(), set()
+        for k, own in items.items():
+            for a in range(len(own)):
+                for b in range(len(w)):
+                    if own[a] == w[b] and not (a and b and own[a - 1] == w[b - 1]):
+                        n = next((n for n in range(min(len(own) - a, len(w) - b)) if own[a + n] != w[b + n]), min(len(own) - a, len(w) - b))
+                        if n >= min(10, len(own)):
+                            want.add((k, a, b, n))
+        assert {tuple(m) for m in got[i]["matches"]} == want and len(got[i]["matches"]) == len(want)
+        r, best = short[i], min(((-n, b, k, a) for k, a, b, n in want), default=(0, None, None, None))
+        assert (-r["longest"], r["longest_doc_start"], r["longest_item"], r["longest_item_start"], r["n_matches"]) == (*best, len(want))
+
+
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     docs = spark.createDataFrame(rows(["x y one two three four five six seven eight nine ten eleven z"]), DOCS)
@@ -553,6 +662,46 @@ def test_toxicity_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
     assert seen == [20]
 
 
+def newton(x, y):
+    """Plain ridge logistic regression in double precision, to convergence."""
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-6]
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x / len(x) + np.diag(ridge), x.T @ (q - y) / len(x) + ridge * w)
+    return w
+
+
+def test_toxicity_chain_against_a_plain_one():
+    """Each category is told the out-of-fold probabilities of those before it; some rows lack a label of the first."""
+    rng = np.random.default_rng(9)
+    n, m = 400, 6
+    x = rng.random((n, m)) < 0.3
+    first = (x[:, 0] + x[:, 1] + rng.random(n) > 1.1).astype(int)
+    second = (first + x[:, 2] + rng.random(n) > 1.6).astype(int)
+    fold = rng.integers(0, toxicity.FOLDS, n)
+    rows_ = [(int(fold[i]), np.flatnonzero(x[i]).tolist(), [None if i % 9 == 0 else int(first[i]), int(second[i])]) for i in range(n)]
+    chain = toxicity.fit(rows_, ("first", "second"), [f"=w{i}" for i in range(m)])
+    got = chain.chances([" ".join(f"w{i}" for i in r[1]) for r in rows_])
+    known = np.arange(n) % 9 > 0
+    sure = lambda z: 1 / (1 + np.exp(-z))
+    a = np.hstack([x, np.ones((n, 1))]).astype(float)
+    held = np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        held[fold == f] = sure(a[fold == f] @ newton(a[known & (fold != f)], first[known & (fold != f)]))
+    p1 = sure(a @ newton(a[known], first[known]))
+    w = newton(np.hstack([x, held[:, None], np.ones((n, 1))]).astype(float), second)
+    p2 = sure(np.hstack([x, p1[:, None], np.ones((n, 1))]) @ w)
+    assert np.abs(got[:, 0] - p1).max() < 5e-3 and np.abs(got[:, 1] - p2).max() < 5e-3 and w[m] > 0.5
+
+
+def test_toxicity_categories_are_label_columns(spark):
+    texts = [f"w{i % 50} w{i % 7} {'zorgl idiot' if i % 4 == 0 else 'fine'}" for i in range(300)]
+    labels = spark.createDataFrame([(i, None if i % 5 == 0 else int(i % 4 != 0), int(i % 4 == 0)) for i in range(250)] + [(3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    corpus = spark.createDataFrame(rows(texts), DOCS)
+    got = {r["doc_id"]: r for r in toxicity.detect(corpus, labels).collect()}
+    assert all(0 <= r["p_low_quality"] <= 1 and r["toxic"] == (i % 4 == 0) for i, r in got.items())
+
+
 def test_toxicity_features_agree():
     text = "Réeuxment réeuxpa réeuxoi idiot Idiot réeuxte"
     names = sorted(toxicity.features(text))
