@@ -52,6 +52,12 @@ def local_date(text: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", g[2], F.lpad(g[1], 2, "0"), F.lpad(g[0], 2, "0")), "yyyy-MM-dd")
 
 
+def local_dates(text: Column) -> Column:
+    """All dates d. m. yyyy in a text that exist, in the order of the text."""
+    found = F.regexp_extract_all(text, F.lit("\\b[0-9]{1,2}\\. ?[0-9]{1,2}\\. ?[0-9]{4}\\b"), F.lit(0))
+    return F.filter(F.transform(found, local_date), lambda d: d.isNotNull())
+
+
 def compact_date(text: Column) -> Column:
     """yyyymmdd as a date, else null."""
     return F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicrill.functions.numbers import exact, ratio, total
 from civicrill.operators.keyed import first_by, islands, top_k
-from civicrill.plans.registry import ORACLE, query
+from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
 #: Ledger stand-in: a four-digit code of flag, status and quantity; price below 5000 is unknown.
@@ -97,18 +97,12 @@ def final_or_latest_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("year").agg(F.max("month").alias("month")).withColumn("final", F.col("month") == 12)
 
 
-@query("""WITH s AS (SELECT l_suppkey AS org, CAST(l_shipdate AS DATE) AS a, CASE WHEN l_linenumber = 7 AND l_quantity > 49 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) END AS b FROM lineitem WHERE l_linenumber > 4),
+@query("""WITH s AS (SELECT l_suppkey AS org, CAST(l_shipdate AS DATE) AS a, CASE WHEN l_linenumber = 7 AND l_quantity > 49 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) END AS b FROM lineitem),
 f AS (SELECT *, coalesce(b, DATE '9999-12-31') AS far FROM s), r AS (SELECT *, MAX(far) OVER (PARTITION BY org ORDER BY a, far ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY org ORDER BY a, far) AS n FROM f),
 g AS (SELECT *, SUM(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY org ORDER BY n) AS island FROM r)
 SELECT org, CAST(MIN(a) AS VARCHAR) AS start, CASE WHEN MAX(far) < DATE '9999-12-31' THEN CAST(MAX(far) AS VARCHAR) END AS stop, COUNT(*) AS parts FROM g GROUP BY org, island""")
 def interval_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN07: intervals of office that touch or overlap become one; an open one absorbs the rest."""
-    return _offices(table(spark, sf_dir, "lineitem").filter("l_linenumber > 4"))
-
-
-@query(ORACLE["interval_islands"].replace(" WHERE l_linenumber > 4", ""))
-def interval_islands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN07: interval_islands over all lines."""
     return _offices(table(spark, sf_dir, "lineitem"))
 
 

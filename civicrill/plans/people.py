@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civicrill.functions import text as T
 from civicrill.functions.numbers import exact, ratio
 from civicrill.operators.keyed import top_k
-from civicrill.plans.registry import ORACLE, query
+from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
 
@@ -22,17 +22,11 @@ def homonym_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("n", n).join(one, "base").select("id", F.concat(F.replace("base", F.lit(" "), F.lit("-")), F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise("")).alias("key"), "unambiguous")
 
 
-@query("""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS place, s_suppkey % 40 AS name FROM supplier), b AS (SELECT c_custkey AS cid, c_nationkey AS place, c_custkey % 40 AS name FROM customer WHERE c_custkey < 700),
+@query("""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS place, s_suppkey % 40 AS name FROM supplier), b AS (SELECT c_custkey AS cid, c_nationkey AS place, c_custkey % 40 AS name FROM customer),
 n AS (SELECT id, COUNT(*) AS hits, MIN(cid) AS least_cid, COUNT(*) FILTER (WHERE a.place = b.place) AS shared, MIN(cid) FILTER (WHERE a.place = b.place) AS by_place FROM a JOIN b USING (name) GROUP BY 1)
 SELECT a.id, CASE WHEN hits = 1 THEN least_cid WHEN shared = 1 THEN by_place END AS assigned, CASE WHEN hits IS NULL THEN 'not found' WHEN hits = 1 THEN 'probable' WHEN shared = 1 THEN 'confirmed' ELSE 'ambiguous' END AS status FROM a LEFT JOIN n ON n.id = a.id""")
 def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN20: an identity is assigned only if unique, or if one candidate shares further evidence."""
-    return _identities(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").filter("c_custkey < 700"))
-
-
-@query(ORACLE["identity_resolution"].replace(" WHERE c_custkey < 700", ""))
-def identity_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN20: identity_resolution over all customers."""
     return _identities(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"))
 
 
@@ -46,19 +40,12 @@ def _identities(supplier: DataFrame, customer: DataFrame) -> DataFrame:
     return a.join(named, "name", "left").join(placed, ["name", "place"], "left").select("id", F.when(F.col("hits") == 1, F.col("least_cid")).when(F.col("shared") == 1, F.col("by_place")).alias("assigned"), status.alias("status"))
 
 
-@query("""WITH o AS (SELECT DISTINCT p_brand AS organ, p_type AS word FROM part WHERE p_partkey < 120), m AS (SELECT DISTINCT 'Brand#' || (p_size % 30) AS organ, p_type AS word FROM part WHERE p_partkey < 150), s AS (SELECT m.organ AS minutes, o.organ AS board, COUNT(*) AS shared FROM m JOIN o USING (word) GROUP BY 1, 2),
+@query("""WITH o AS (SELECT DISTINCT p_brand AS organ, p_type AS word FROM part), m AS (SELECT DISTINCT 'Brand#' || (p_size % 30) AS organ, p_type AS word FROM part), s AS (SELECT m.organ AS minutes, o.organ AS board, COUNT(*) AS shared FROM m JOIN o USING (word) GROUP BY 1, 2),
 r AS (SELECT *, rank() OVER (PARTITION BY minutes ORDER BY shared DESC) AS r FROM s), b AS (SELECT minutes, CASE WHEN COUNT(*) = 1 THEN MIN(board) END AS board FROM r WHERE r = 1 GROUP BY 1)
 SELECT n.organ AS minutes, coalesce(e.organ, b.board) AS board, CASE WHEN e.organ IS NOT NULL THEN 'exact' WHEN b.board IS NOT NULL THEN 'words' ELSE 'unmatched' END AS how FROM (SELECT DISTINCT organ FROM m) n LEFT JOIN (SELECT DISTINCT organ FROM o) e ON e.organ = n.organ LEFT JOIN b ON b.minutes = n.organ""")
 def organ_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN18: the exact name first, else most shared words; a tie stays unmatched."""
     p = table(spark, sf_dir, "part")
-    return _organs(p.filter("p_partkey < 120"), p.filter("p_partkey < 150"))
-
-
-@query(ORACLE["organ_matching"].replace(" WHERE p_partkey < 120", "").replace(" WHERE p_partkey < 150", ""))
-def organ_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN18: organ_matching over all parts."""
-    p = table(spark, sf_dir, "part")
     return _organs(p, p)
 
 
@@ -131,15 +118,9 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("who").agg(F.count(F.lit(1)).alias("named"), present.alias("present"), F.count_if(F.col("state") == "error").alias("excused"), ratio(present, F.count(F.lit(1))).alias("share"), F.max_by("shown", F.struct(F.length("shown"), "shown")).alias("display"))
 
 
-@query("""WITH g AS (SELECT c_nationkey AS recipient, o_orderpriority AS funder, CASE WHEN o_totalprice >= 100000 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0) SELECT recipient, COUNT(*) AS grants, COUNT(amount) AS priced, CAST(SUM(amount) AS DOUBLE) AS total, string_agg(DISTINCT funder, ',' ORDER BY funder) AS funders FROM g GROUP BY 1""")
+@query("""WITH g AS (SELECT c_nationkey AS recipient, o_orderpriority AS funder, CASE WHEN o_totalprice >= 100000 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount FROM orders JOIN customer ON c_custkey = o_custkey) SELECT recipient, COUNT(*) AS grants, COUNT(amount) AS priced, CAST(SUM(amount) AS DOUBLE) AS total, string_agg(DISTINCT funder, ',' ORDER BY funder) AS funders FROM g GROUP BY 1""")
 def grants_per_recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG31, PJ10: grants counted with unpriced ones, summed without, funders named once."""
-    return _grants(table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), table(spark, sf_dir, "customer"))
-
-
-@query(ORACLE["grants_per_recipient"].replace(" WHERE o_orderkey % 5 = 0", ""))
-def grants_per_recipient_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG31, PJ10: grants_per_recipient over all orders."""
     return _grants(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 

@@ -11,7 +11,7 @@ from civicrill.functions import text as T
 from civicrill.functions.numbers import ratio
 
 from civicrill.operators.text_match import frequencies, rare_matches, tokens_of, weighted_jaccard
-from civicrill.plans.registry import ORACLE, query
+from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
 #: The same word string in SQL.
@@ -51,15 +51,9 @@ def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).withColumn("stems", F.array_sort(T.stems(F.col("text")))).filter(F.size("stems") > 0).select("doc_id", F.array_join("stems", ",").alias("stems"))
 
 
-@query(f"""WITH {TOKENS}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM tok), f AS (SELECT token, COUNT(*) AS df FROM tok GROUP BY 1) SELECT token, df, df / n AS share FROM f, n WHERE df >= 2""")
+@query(f"""WITH {TOKENS}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM tok), f AS (SELECT token, COUNT(*) AS df FROM tok GROUP BY 1) SELECT token, df, df / n AS share FROM f, n""")
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX06: document frequencies; the weight ln(N / df) follows from df and share."""
-    return idf_weights_all(spark, sf_dir).filter("df >= 2")
-
-
-@query(ORACLE["idf_weights"].replace(" WHERE df >= 2", ""))
-def idf_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX06: idf_weights of every token, those of one document included."""
+    """TX06: document frequencies of every token, those of one document included; the weight ln(N / df) follows from df and share."""
     t = _tokens(spark, sf_dir)
     n = t.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
     return frequencies(t, "doc_id").crossJoin(F.broadcast(n)).select("token", "df", ratio(F.col("df"), F.col("n")).alias("share"))
@@ -106,7 +100,7 @@ _HEAD, _BODY = "substr(t, 1, 80)", "substr(t, 1, 6000)"
 s AS (SELECT doc_id, tag, prio, weight * CASE WHEN regexp_matches({_HEAD}, pattern) THEN 3 WHEN regexp_matches({_BODY}, pattern) THEN 1 ELSE 0 END AS score FROM d, r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, prio) AS n FROM s WHERE score >= 3)
 SELECT d.doc_id, coalesce(string_agg(tag, ',' ORDER BY n), 'other') AS tags FROM d LEFT JOIN k ON k.doc_id = d.doc_id AND n <= 3 GROUP BY 1""")
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX24: weighted rules, a hit at the head counts three times; at most three tags, none becomes other. The rules are a short list, so they become columns, not a join."""
+    """TX24: weighted rules over the first 6,000 characters, which is the rule itself; a hit at the head counts three times; at most three tags, none becomes other. The rules are a short list, so they become columns, not a join."""
     d = _documents(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.substring("t", 1, 80).alias("h"), F.substring("t", 1, 6000).alias("b"))
     hits = F.array(*[F.struct((-F.lit(w) * F.when(F.col("h").rlike(p), 3).when(F.col("b").rlike(p), 1).otherwise(0)).alias("score"), F.lit(i).alias("prio"), F.lit(t).alias("tag")) for i, (t, p, w) in enumerate(EDGED)])
     best = F.slice(F.array_sort(F.filter(hits, lambda x: x["score"] <= -3)), 1, 3)
@@ -143,12 +137,18 @@ def ids_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.array_join(T.contract_numbers(F.col("text")), ",").alias("numbers"))
 
 
-@query("""SELECT i, CASE i WHEN 0 THEN 397951000.0 WHEN 1 THEN 1250000.0 WHEN 2 THEN 450000.0 WHEN 3 THEN NULL WHEN 4 THEN 2500000.5 WHEN 5 THEN NULL WHEN 6 THEN 3000000.0 END AS amount FROM range(7) t(i)""")
+#: Texts with amounts, by the remainder of the order's key.
+MONEY_TEXT = "CASE o_orderkey % 6 WHEN 0 THEN 've výši ' || o_custkey % 900 || '.' || (100 + o_orderkey % 900) || ',5 tis. Kč' WHEN 1 THEN 'částka ' || (1 + o_custkey % 9) || ' ' || (100 + o_orderkey % 900) || ' 000,- Kč' WHEN 2 THEN 'v roce 2019 bylo ' || o_custkey || ' Kč a ' || o_orderkey || ' EUR' WHEN 3 THEN 'bez částky ' || o_custkey WHEN 4 THEN (1 + o_custkey % 9) || ' mld. Kč' ELSE (1 + o_custkey % 9) || ' mil. Kč, dříve ' || (1 + o_custkey % 9) || ',25 mil. Kč' END"
+_A, _B, _C = (f"regexp_extract_all(plain, '{T.MONEY}', {i})" for i in (1, 2, 3))
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS id, lower(strip_accents({MONEY_TEXT})) AS plain FROM orders), g AS (SELECT id, {_A} AS a, {_B} AS b, {_C} AS c FROM t),
+v AS (SELECT id, list_transform(range(1, len(a) + 1), lambda i: (try_cast(regexp_replace(a[i], '[ .]', '', 'g') AS DOUBLE) + coalesce(try_cast('0.' || nullif(nullif(b[i], '-'), '') AS DOUBLE), 0.0)) * CASE WHEN c[i] LIKE 'tis%' THEN 1e3 WHEN c[i] LIKE 'mil%' THEN 1e6 WHEN c[i] LIKE 'mld%' THEN 1e9 ELSE 1.0 END) AS found FROM g)
+SELECT id, list_max(list_filter(found, lambda x: x <= {T.CEILING})) AS amount FROM v""")
 def money_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX13, TX14: amounts in words of a resolution: groups of three, decimal comma, multipliers, ceiling; none is unknown, not zero."""
-    samples = ("ve výši 397.951,0 tis. Kč", "částka 1.250.000,- Kč", "v roce 2019 bylo 450 000 Kč", "bez částky", "celkem 2 500 000,5 Kč a 20 Kč", "9 mld. Kč", "3 mil. Kč, dříve 2,5 mil. Kč")
-    df = spark.createDataFrame(list(enumerate(samples)), "i long, text string")
-    return df.select("i", T.largest_amount(F.col("text")).alias("amount"))
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(MONEY_TEXT).alias("text"))
+    return texts.select("id", T.largest_amount(F.col("text")).alias("amount"))
 
 
 @query()
@@ -222,15 +222,9 @@ def name_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("key").agg(F.count(F.lit(1)).alias("names"), F.countDistinct("slug").alias("spellings"), F.min("p_partkey").alias("first_id"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, string_split(p_name, ' ')[1] AS head FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 = 1 AND p_partkey < 400), x AS (SELECT b.id, COUNT(DISTINCT a.name) AS options, MIN(a.name) AS full_name FROM b JOIN a ON a.head = string_split(b.name, ' ')[1] AND substr(a.name, length(a.head) + 2, 1) = substr(b.name, strpos(b.name, ' ') + 1, 1) GROUP BY 1) SELECT id, options, CASE WHEN options = 1 THEN full_name END AS resolved FROM x""")
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, string_split(p_name, ' ')[1] AS head FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 > 0), x AS (SELECT b.id, COUNT(DISTINCT a.name) AS options, MIN(a.name) AS full_name FROM b JOIN a ON a.head = string_split(b.name, ' ')[1] AND substr(a.name, length(a.head) + 2, 1) = substr(b.name, strpos(b.name, ' ') + 1, 1) GROUP BY 1) SELECT id, options, CASE WHEN options = 1 THEN full_name END AS resolved FROM x""")
 def abbreviated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN17: a surname with an initial stands for a full name only when exactly one fits."""
-    return _full_names(table(spark, sf_dir, "part"), "id % 3 = 1 and id < 400")
-
-
-@query(ORACLE["abbreviated_names"].replace("p_partkey % 3 = 1 AND p_partkey < 400", "p_partkey % 3 > 0"))
-def abbreviated_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN17: abbreviated_names over all parts: each is a full name or a short one."""
+    """JN17: a surname with an initial stands for a full name only when exactly one fits; every part is a full name or a short one."""
     return _full_names(table(spark, sf_dir, "part"), "id % 3 > 0")
 
 
@@ -241,13 +235,15 @@ def _full_names(part: DataFrame, shortened: str) -> DataFrame:
     return short.join(full, ["head", "initial"]).select("id", "options", F.when(F.col("options") == 1, F.col("full_name")).alias("resolved"))
 
 
-@query("""SELECT * FROM (VALUES (0, '2024', 'year', '2024-01-01'), (1, '2024-05', 'month', '2024-05-01'), (2, '2024-05-06', 'day', '2024-05-06'), (3, 'around 1900', NULL, NULL), (4, NULL, NULL, NULL)) t(i, text, precision, sort_key)""")
+@query("""WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN 'around ' || strftime(o_orderdate, '%Y') END AS text FROM orders)
+SELECT id, CASE WHEN regexp_full_match(text, '[0-9]{4}') THEN 'year' WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}') THEN 'month' WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'day' END AS precision, CASE WHEN regexp_matches(text, '^[0-9]{4}(-[0-9]{2}){0,2}$') THEN substr(text || '-01-01', 1, 10) END AS sort_key FROM t""")
 def precision_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT02: dates with precision, completed for sorting only."""
     from civicrill.functions.dates import completed, precision
 
-    df = spark.createDataFrame([(0, "2024"), (1, "2024-05"), (2, "2024-05-06"), (3, "around 1900"), (4, None)], "i int, text string")
-    return df.select("i", "text", precision(F.col("text")).alias("precision"), completed(F.col("text")).alias("sort_key"))
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 5 == 0, F.date_format(d, "yyyy")).when(k % 5 == 1, F.date_format(d, "yyyy-MM")).when(k % 5 == 2, F.date_format(d, "yyyy-MM-dd")).when(k % 5 == 3, F.concat(F.lit("around "), F.date_format(d, "yyyy")))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), precision(text).alias("precision"), completed(text).alias("sort_key"))
 
 
 @query("""SELECT o_orderkey AS id, CAST(abs((year(o_orderdate) - year(l)) * 12 + month(o_orderdate) - month(l)) AS BIGINT) AS months FROM orders JOIN (SELECT l_orderkey, MIN(l_shipdate) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")

@@ -79,18 +79,26 @@ def next_start_as_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("start"), F.coalesce(F.lead("turn").over(w), F.col("turn") + 5).alias("stop"))
 
 
-@query("SELECT * FROM (VALUES (0, 'one two'), (2, 'three'), (3, 'and more')) t(pos, text)")
+#: Segments of which some only repeat the end of the one before.
+SEGMENT = "CASE turn % 3 WHEN 0 THEN turn || ' said and tail' WHEN 1 THEN 'tail' ELSE CASE WHEN conv_id % 2 = 0 THEN 'and tail' ELSE 'more' END END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {SEGMENT} AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), r AS (SELECT conv_id, i, turn, text, text AS last, true AS kept FROM t WHERE i = 1 UNION ALL SELECT t.conv_id, t.i, t.turn, t.text, CASE WHEN ends_with(r.last, t.text) THEN r.last ELSE t.text END, NOT ends_with(r.last, t.text) FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+SELECT conv_id, turn, text FROM r WHERE kept""")
 def suffix_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN06: a segment that only repeats the end of the last kept one goes."""
-    df = spark.createDataFrame([("v", 0, "one two"), ("v", 1, "two"), ("v", 2, "three"), ("v", 3, "and more"), ("v", 4, "more")], "video string, pos int, text string")
-    return without_repeats(df, "video", "pos", "text").select("pos", "text")
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(SEGMENT).alias("text"))
+    return without_repeats(df, "conv_id", "turn", "text").select("conv_id", "turn", "text")
+
+
+#: Time codes in three forms, one with a fraction.
+CODE = "CASE conv_id % 4 WHEN 0 THEN concat('0', turn, ':', 10 + conv_id % 50, ':0', conv_id % 10) WHEN 1 THEN concat(turn, ':', 10 + conv_id % 50, ':', 10 + turn, '.5') WHEN 2 THEN concat(conv_id % 60, ':', 10 + turn) ELSE concat('', conv_id) END"
 
 
-@query("SELECT * FROM (VALUES ('00:01:05', 65.0), ('1:00:00.5', 3600.5), ('12:30', 750.0), ('7', 7.0)) t(code, seconds)")
+@query(f"""WITH t AS (SELECT conv_id, turn, list_reverse(string_split({CODE}, ':')) AS p FROM conversations) SELECT conv_id, turn, coalesce(CAST(p[1] AS DOUBLE), 0) + 60 * coalesce(CAST(p[2] AS DOUBLE), 0) + 3600 * coalesce(CAST(p[3] AS DOUBLE), 0) AS seconds FROM t""")
 def time_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DT06: time codes as seconds."""
-    df = spark.createDataFrame([("00:01:05",), ("1:00:00.5",), ("12:30",), ("7",)], "code string")
-    return df.select("code", seconds(F.col("code")).alias("seconds"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", seconds(F.expr(CODE)).alias("seconds"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages), s AS (SELECT page_id, regexp_replace(split_part(b, '?', 1), '/+$', '') AS path, list_sort(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS q FROM u)
