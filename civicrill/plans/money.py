@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicrill.functions.dates import active, freshness, months_apart
+from civicrill.functions.dates import active, freshness
 from civicrill.functions.numbers import amounts_agree, exact, ratio, total, total_if
 from civicrill.operators.keyed import dense, differences, first_by, top_k
 from civicrill.plans.registry import query
@@ -154,23 +154,36 @@ def unlinked_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.id, arg_max(a.id, (a.signed, a.id)) AS previous, COUNT(*) AS candidates FROM o b JOIN o a ON a.party = b.party AND a.signed <= b.signed AND a.n < b.n
   AND abs((year(a.signed) - year(b.signed)) * 12 + month(a.signed) - month(b.signed)) <= 36 WHERE a.direction = 'expense' AND b.direction = 'income' GROUP BY 1""")
 def as_of_best_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN13, DT04: each amendment's latest earlier original of the same party within 36 calendar months; without one it is absent."""
-    c = contracts(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("party").orderBy("signed", "id")))
-    a = c.filter("direction = 'expense'").select("party", F.col("id").alias("a_id"), F.col("signed").alias("a_signed"), F.col("n").alias("a_n"))
-    b = c.filter("direction = 'income'").select("party", "id", "signed", "n")
-    near = b.join(a, "party").filter((F.col("a_signed") <= F.col("signed")) & (F.col("a_n") < F.col("n")) & (months_apart(F.col("a_signed"), F.col("signed")) <= 36))
-    return near.groupBy("id").agg(F.max_by("a_id", F.struct("a_signed", "a_id")).alias("previous"), F.count(F.lit(1)).alias("candidates"))
+    """JN13, DT04: each amendment's latest earlier original of the same party within 36 calendar months; without one it is absent.
+
+    Windows over a party's contracts in order, without pairs: the last original before a contract, and the originals of
+    36 months less those of its own month that come later.
+    """
+    c = contracts(spark, sf_dir).select("party", "id", "signed", "direction", (F.year("signed") * 12 + F.month("signed")).alias("month"))
+    original = F.when(F.col("direction") == "expense", F.struct("id", "month"))
+    ordered, months = Window.partitionBy("party").orderBy("signed", "id"), Window.partitionBy("party").orderBy("month")
+    later = Window.partitionBy("party", "month").orderBy("signed", "id").rowsBetween(1, Window.unboundedFollowing)
+    near = c.select("id", "direction", "month", F.last(original, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), (F.count(original).over(months.rangeBetween(-36, 0)) - F.count(original).over(later)).alias("candidates"))
+    return near.filter((F.col("direction") == "income") & (F.col("month") - F.col("last.month") <= 36)).select("id", F.col("last.id").alias("previous"), "candidates")
+
+
+#: Days of one step of the time key by which points and contracts meet; a point meets contracts of EARLY days before to LATE days after it.
+STEP, EARLY, LATE = 365, -545, 730
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points (order, line) against contracts of the same party: identity, time, amount and priority as evidence."""
+    """Points (order, line) against contracts of the same party: identity, time, amount and priority as evidence.
+
+    Both sides meet by party and step of time, so a party of very many contracts is spread over its years.
+    """
     c = contracts(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    k = c.join(orders, "id").select("id", "party", "signed", "amount", "o_orderpriority")
-    left = k.filter(F.col("id") % 2 == 0).select("party", *[F.col(x).alias(f"p_{x}") for x in ("id", "signed", "amount", "o_orderpriority")])
-    right = k.filter(F.col("id") % 2 == 1).select("party", *[F.col(x).alias(f"c_{x}") for x in ("id", "signed", "amount", "o_orderpriority")])
+    k = c.join(orders, "id").select("id", "party", "signed", "amount", "o_orderpriority").withColumn("day", F.unix_date("signed"))
+    step = lambda day: F.floor(day / STEP).cast("int")
+    left = k.filter(F.col("id") % 2 == 0).select("party", *[F.col(x).alias(f"p_{x}") for x in ("id", "signed", "amount", "o_orderpriority")], F.explode(F.sequence(step(F.col("day") + EARLY), step(F.col("day") + LATE))).alias("step"))
+    right = k.filter(F.col("id") % 2 == 1).select("party", *[F.col(x).alias(f"c_{x}") for x in ("id", "signed", "amount", "o_orderpriority")], step(F.col("day")).alias("step"))
     gap = F.datediff("c_signed", "p_signed")
-    pairs = left.join(right, "party").withColumn("gap", gap.cast("long")).filter("gap between -545 and 730")
+    pairs = left.join(right, ["party", "step"]).withColumn("gap", gap.cast("long")).filter(F.col("gap").between(EARLY, LATE))
     when = F.when(F.col("gap").between(0, 120), 26).when(F.col("gap").between(0, 365), 16).when(F.col("gap").between(0, 730), 6).otherwise(0)
     close = F.coalesce(F.abs(F.col("p_amount") - F.col("c_amount")) <= 20000, F.lit(False))
     same = F.col("p_o_orderpriority") == F.col("c_o_orderpriority")

@@ -9,7 +9,7 @@ from civicrill.functions import text as T
 from civicrill.functions.numbers import exact, ratio
 from civicrill.operators.keyed import top_k
 from civicrill.plans.registry import query
-from civicrill.sources.tables import table
+from civicrill.sources.tables import spread, table
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_name AS base, CASE WHEN p_size % 4 > 0 THEN p_size END AS born FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY born NULLS LAST, id) AS n FROM p), u AS (SELECT base, COUNT(DISTINCT born) = 1 AS one FROM p GROUP BY 1)
@@ -75,12 +75,17 @@ def cascaded_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT doc_id, item_id FROM documents, (SELECT item_id, string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' ')[1:6] AS w FROM benchmark) b WHERE len(w) = 6 AND contains(' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || array_to_string(w, ' ') || ' ')) SELECT item_id, COUNT(*) AS mentions, MIN(doc_id) AS first_doc FROM m GROUP BY 1""")
 def mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN22, PG03: texts that mention a name: an equi join on the hash of six words instead of comparing all pairs, then the phrase itself."""
-    names = table(spark, sf_dir, "benchmark").select("item_id", F.slice(T.word_list(F.col("text")), 1, 6).alias("w")).filter(F.size("w") == 6).select("item_id", F.array_join("w", " ").alias("phrase"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.word_list(F.col("text")).alias("w")).filter(F.size("w") >= 6)
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 6), lambda i: F.xxhash64(F.concat_ws(" ", *[F.col("w")[i + k] for k in range(6)]))))).alias("h"))
-    pairs = grams.join(names.select("item_id", "phrase", F.xxhash64("phrase").alias("h")), "h").select("doc_id", "item_id", "phrase")
-    said = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("said"))
+    """JN22, PG03: texts that mention a name: an equi join on the hash of six words instead of comparing all pairs, then the phrase itself.
+
+    Only ids and hashes are exploded; texts meet the few pairs that are left, by a broadcast of the pairs where Spark finds them small.
+    """
+    six = lambda w, i=0: F.xxhash64(*[w[i + k] for k in range(6)])
+    names = table(spark, sf_dir, "benchmark").select("item_id", F.slice(T.word_list(F.col("text")), 1, 6).alias("w")).filter(F.size("w") == 6).select("item_id", F.array_join("w", " ").alias("phrase"), six(F.col("w")).alias("h"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = d.select("doc_id", F.split(T.word_string(F.col("text")), " ").alias("w")).filter(F.size("w") >= 6)
+    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 6), lambda i: six(F.col("w"), i))).alias("h"))
+    pairs = grams.join(names, "h").select("doc_id", "item_id", "phrase").distinct()
+    said = d.select("doc_id", F.concat(F.lit(" "), T.word_string(F.col("text")), F.lit(" ")).alias("said"))
     hits = pairs.join(said, "doc_id").filter(F.col("said").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("doc_id", "item_id").distinct()
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
 

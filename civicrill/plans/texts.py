@@ -12,7 +12,7 @@ from civicrill.functions.numbers import ratio
 
 from civicrill.operators.text_match import frequencies, rare_matches, tokens_of, weighted_jaccard
 from civicrill.plans.registry import query
-from civicrill.sources.tables import table
+from civicrill.sources.tables import spread, table
 
 #: The same word string in SQL.
 WS = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
@@ -25,8 +25,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that computes much on each text."""
+    return spread(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens_of(_documents(spark, sf_dir), "doc_id", T.significant_words(F.col("text")))
+    return tokens_of(_texts(spark, sf_dir), "doc_id", T.significant_words(F.col("text")))
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,19 +41,19 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(lower(strip_accents(text))) AS plain FROM documents")
 def unaccent_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX01: lower case without marks."""
-    return _documents(spark, sf_dir).select("doc_id", F.md5(T.unaccent(F.col("text"))).alias("plain"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.unaccent(F.col("text"))).alias("plain"))
 
 
 @query("""SELECT doc_id, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', ''), ''), 'unnamed') AS slug FROM documents""")
 def slug_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX02: slug of a text, cut to 80."""
-    return _documents(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
+    return _texts(spark, sf_dir).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(f"""WITH {TOKENS} SELECT doc_id, string_agg(DISTINCT s, ',' ORDER BY s) AS stems FROM (SELECT doc_id, CASE WHEN length(token) >= 7 THEN substr(token, 1, length(token) - 2) WHEN length(token) >= 5 THEN substr(token, 1, length(token) - 1) ELSE token END AS s FROM tok) GROUP BY 1""")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX03, TX04, TX05: stems of the significant words."""
-    return _documents(spark, sf_dir).withColumn("stems", F.array_sort(T.stems(F.col("text")))).filter(F.size("stems") > 0).select("doc_id", F.array_join("stems", ",").alias("stems"))
+    return _texts(spark, sf_dir).withColumn("stems", F.array_sort(T.stems(F.col("text")))).filter(F.size("stems") > 0).select("doc_id", F.array_join("stems", ",").alias("stems"))
 
 
 @query(f"""WITH {TOKENS}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM tok), f AS (SELECT token, COUNT(*) AS df FROM tok GROUP BY 1) SELECT token, df, df / n AS share FROM f, n""")
@@ -85,7 +90,7 @@ def rare_term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH k AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS k FROM documents) SELECT k AS fingerprint, MIN(doc_id) AS doc_id, COUNT(*) AS merged FROM k GROUP BY 1""")
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST03: one row of texts that differ in case, marks, spacing and punctuation only; how many were merged is told."""
-    k = _documents(spark, sf_dir).select("doc_id", F.md5(T.content_key(F.col("text"))).alias("fingerprint"))
+    k = _texts(spark, sf_dir).select("doc_id", F.md5(T.content_key(F.col("text"))).alias("fingerprint"))
     return k.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("merged"))
 
 
@@ -101,7 +106,7 @@ s AS (SELECT doc_id, tag, prio, weight * CASE WHEN regexp_matches({_HEAD}, patte
 SELECT d.doc_id, coalesce(string_agg(tag, ',' ORDER BY n), 'other') AS tags FROM d LEFT JOIN k ON k.doc_id = d.doc_id AND n <= 3 GROUP BY 1""")
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX24: weighted rules over the first 6,000 characters, which is the rule itself; a hit at the head counts three times; at most three tags, none becomes other. The rules are a short list, so they become columns, not a join."""
-    d = _documents(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.substring("t", 1, 80).alias("h"), F.substring("t", 1, 6000).alias("b"))
+    d = _texts(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.substring("t", 1, 80).alias("h"), F.substring("t", 1, 6000).alias("b"))
     hits = F.array(*[F.struct((-F.lit(w) * F.when(F.col("h").rlike(p), 3).when(F.col("b").rlike(p), 1).otherwise(0)).alias("score"), F.lit(i).alias("prio"), F.lit(t).alias("tag")) for i, (t, p, w) in enumerate(EDGED)])
     best = F.slice(F.array_sort(F.filter(hits, lambda x: x["score"] <= -3)), 1, 3)
     return d.select("doc_id", F.coalesce(F.nullif(F.array_join(F.transform(best, lambda x: x["tag"]), ","), F.lit("")), F.lit("other")).alias("tags"))
@@ -111,7 +116,7 @@ def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN MAX(n) >= 2 THEN arg_max(tag, (n, tag)) ELSE 'other' END AS tag, MAX(n) AS occurrences FROM s GROUP BY 1""")
 def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX25: the tag of most occurrences, the head counted twice."""
-    d = _documents(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.concat_ws(" ", "t", F.substring("t", 1, 80)).alias("t"))
+    d = _texts(spark, sf_dir).select("doc_id", T.unaccent(F.col("text")).alias("t")).select("doc_id", F.concat_ws(" ", "t", F.substring("t", 1, 80)).alias("t"))
     best = F.array_max(F.array(*[F.struct(F.regexp_count("t", F.lit(p)).cast("long").alias("n"), F.lit(t).alias("tag")) for t, p, _ in EDGED]))
     return d.withColumn("x", best).select("doc_id", F.when(F.col("x.n") >= 2, F.col("x.tag")).otherwise("other").alias("tag"), F.col("x.n").alias("occurrences"))
 
@@ -121,20 +126,20 @@ def direction_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX29, TX30: ordered patterns; the first that matches decides."""
     t = T.unaccent(F.col("text"))
     kind = F.when(t.rlike("licensed under"), "licensed").when(t.rlike("released under"), "released").when(t.rlike("token|secret"), "credential").when(t.contains("@"), "contact").when(t.contains("|"), "table").otherwise("prose")
-    return _documents(spark, sf_dir).select("doc_id", kind.alias("direction"))
+    return _texts(spark, sf_dir).select("doc_id", kind.alias("direction"))
 
 
 @query("""SELECT doc_id, regexp_matches(regexp_replace(lower(strip_accents(text)), 'general public license|creative commons', ' ', 'g'), 'licen[sc]e|cc by') AS relevant FROM documents""")
 def relevance_with_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FL05: vetoed phrases are taken out before a pattern may match."""
     t = F.regexp_replace(T.unaccent(F.col("text")), "general public license|creative commons", " ")
-    return _documents(spark, sf_dir).select("doc_id", t.rlike("licen[sc]e|cc by").alias("relevant"))
+    return _texts(spark, sf_dir).select("doc_id", t.rlike("licen[sc]e|cc by").alias("relevant"))
 
 
 @query("""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9][0-9/-]*[0-9]'), lambda x: x) AS found FROM documents) SELECT doc_id, array_to_string(list_filter(found, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 6), ',') AS numbers FROM m""")
 def ids_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX10, TX11: contract numbers: runs of digits, slashes and hyphens with six digits or more."""
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(T.contract_numbers(F.col("text")), ",").alias("numbers"))
+    return _texts(spark, sf_dir).select("doc_id", F.array_join(T.contract_numbers(F.col("text")), ",").alias("numbers"))
 
 
 #: Texts with amounts, by the remainder of the order's key.
@@ -154,14 +159,14 @@ def money_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def money_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX13, TX14: money_in_text over whole documents."""
-    return _documents(spark, sf_dir).select("doc_id", T.largest_amount(F.col("text")).alias("amount"))
+    return _texts(spark, sf_dir).select("doc_id", T.largest_amount(F.col("text")).alias("amount"))
 
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS BIGINT) AS masked, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[e-mail]', 'g')) AS text_md5 FROM documents""")
 def pii_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX32: addresses of persons replaced, and how many."""
     p = "[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++"
-    return _documents(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("masked"), F.md5(F.regexp_replace("text", p, "[e-mail]")).alias("text_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("masked"), F.md5(F.regexp_replace("text", p, "[e-mail]")).alias("text_md5"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({WS.format("text")}, ' '), lambda x: length(x) >= 4) AS ws, text FROM documents) SELECT doc_id, CAST(len(ws) AS BIGINT) AS long_words, CAST(len(list_filter(ws, lambda x: NOT regexp_matches(x, '[aeiouy]'))) AS BIGINT) AS vowelless,
@@ -169,7 +174,7 @@ def pii_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX26: texts with more than a quarter of long words without a vowel are garbage."""
     long = F.filter(T.word_list(F.col("text")), lambda w: F.length(w) >= 4)
-    d = _documents(spark, sf_dir).select("doc_id", long.alias("ws")).select("doc_id", F.size("ws").cast("long").alias("long_words"), F.size(F.filter("ws", lambda w: ~w.rlike("[aeiouy]"))).cast("long").alias("vowelless"))
+    d = _texts(spark, sf_dir).select("doc_id", long.alias("ws")).select("doc_id", F.size("ws").cast("long").alias("long_words"), F.size(F.filter("ws", lambda w: ~w.rlike("[aeiouy]"))).cast("long").alias("vowelless"))
     return d.withColumn("garbage", (F.col("long_words") > 0) & (F.col("vowelless") > 0.25 * F.col("long_words")))
 
 
