@@ -25,6 +25,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MAX_BITS = 3
 #: Fingerprints of one sub-block of a bucket; a piece holds two sub-blocks at most.
 PIECE = 2048
+#: Keys of dropped rows (about 100 bytes each in a task) that are sent to the tasks at most; more of them are joined by a shuffle.
+SENT_KEYS = 500_000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -144,7 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the smallest id (null last); of equal ids and texts, any one row.
 
-    Rows are known by a 128-bit digest of id and text, so only the final semi-join moves texts.
+    Rows are known by a 128-bit digest of id and text. The keys of what goes are few where copies are; their number is
+    taken before they are sent to the tasks, and then no text is shuffled.
     """
     key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("null"))))
     marked = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), key.alias("__key"), F.col(text).alias("text"))), "simhash")
@@ -152,7 +155,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     keep = cut(named.select(F.col("first.__key").alias("__key")), "simhash-keep")
-    kept = docs.withColumn("__key", key).join(keep, "__key", "left_semi")
-    if marked.join(keep, "__key", "left_semi").groupBy("__key").count().filter("count > 1").isEmpty():
-        return kept.drop("__key")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    counted = marked.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).join(keep.withColumn("kept", F.lit(True)), "__key", "left")
+    # what goes, and what stays once of several equal rows
+    special = cut(counted.filter("kept is null or n > 1").select("__key", F.col("kept").isNotNull().alias("kept")), "simhash-special")
+    sent = lambda df: F.broadcast(df) if df.count() <= SENT_KEYS else df
+    keyed = docs.withColumn("__key", key)
+    single = keyed.join(sent(special), "__key", "left_anti").drop("__key")
+    again = special.filter("kept")
+    return single if again.isEmpty() else single.unionByName(keyed.join(sent(again), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key"))
