@@ -63,7 +63,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("line")
     kind = F.when(line.contains("Licensed under"), "licensed").when(line.contains("Released under"), "released").when(line.contains("token"), "credential").when(line.contains("@"), "contact").when(line.contains("|"), "table")
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return lines.withColumn("direction", kind).filter(F.col("direction").isNotNull() & ~line.contains("###")).select(F.concat_ws("-", F.col("doc_id").cast("string"), (F.col("p") + 1).cast("string")).alias("id"), "direction")
+    return lines.withColumn("direction", kind).filter(F.col("direction").isNotNull() & ~line.contains("###")).select(F.concat(F.col("doc_id").cast("string"), F.lit("-"), (F.col("p") + 1).cast("string")).alias("id"), "direction")
 
 
 POINTS = f"""points AS (SELECT l_orderkey AS number, l_linenumber AS line, CASE l_linenumber % 5 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PRIORITIES))} END AS organ, CAST(l_shipdate AS DATE) AS day, CAST(l_shipdate AS DATE) - CAST(l_quantity % 5 AS INTEGER) * 90 AS named FROM lineitem)"""
@@ -173,7 +173,7 @@ def pair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PJ05: the shape of a matched pair: an id of organ, year, point and contract, and its reasons as one text."""
     c = contracts(spark, sf_dir)
     reasons = F.concat_ws("; ", F.when(F.col("amount").isNull(), "amount unknown"), F.when(F.col("day").isNull(), "day unknown"), F.when(F.col("party") % 25 == F.col("owner"), "same holding"))
-    return c.select(F.concat(F.concat_ws("-", "direction", F.year("signed").cast("string"), F.col("owner").cast("string")), F.lit("__"), F.col("id").cast("string")).alias("id"), reasons.alias("reasons"))
+    return c.select(F.concat("direction", F.lit("-"), F.year("signed").cast("string"), F.lit("-"), F.col("owner").cast("string"), F.lit("__"), F.col("id").cast("string")).alias("id"), reasons.alias("reasons"))
 
 
 @query(f"""WITH {CONTRACTS} SELECT party, COUNT(*) AS contracts, COUNT(*) FILTER (WHERE amount IS NULL) AS undisclosed, CAST(coalesce(SUM(amount), 0) AS DOUBLE) AS total FROM contracts WHERE party % 25 = owner GROUP BY 1""")

@@ -1,4 +1,4 @@
-"""Every civic query against its SQL over the smallest tables, and over empty ones."""
+"""Every civic query against its SQL over the smallest tables; test_awkward.py has empty tables and awkward rows."""
 
 import json
 
