@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicrill.sources.tables import spread
+
 #: Key of a row within one operator; never leaves it.
 ROW = "__row"
 
@@ -17,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, on every core also where they are few files."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, a temporary one may stand in."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from civicrill.llm import bpe, decontaminate, licenses, ordering, pii, preference, quality, secrets, simhash, toxicity
-from civicrill.llm.common import read
+from civicrill.llm.common import documents, read
 
 
 #: Key of the training order; another key gives another order of the same sequences.
@@ -16,11 +16,11 @@ TRAINING_KEY = "epoch-0"
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    return secrets.scan(documents(spark, sf_dir))
 
 
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(read(spark, sf_dir, "documents"))
+    return pii.scan(documents(spark, sf_dir))
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,32 +29,32 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ordering.BytePairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ordering.shards(ordering.sequences(ordering.arranged(read(spark, sf_dir, "documents")), tokens), TRAINING_KEY)
+    return ordering.shards(ordering.sequences(ordering.arranged(documents(spark, sf_dir)), tokens), TRAINING_KEY)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_license_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents"))
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"))
+    return quality.judge(documents(spark, sf_dir))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.report(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.detect(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
