@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from civicrill.llm import bpe, decontaminate, secrets, simhash, toxicity
-from civicrill.llm.common import cut, discard, read
+from civicrill.llm.common import cut, discard, documents, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of what the stages keep; each stage's files go once the next stage has been written."""
-    docs, before = read(spark, sf_dir, "documents"), None
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before is not None:
