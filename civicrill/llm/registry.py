@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from civicrill.llm import bpe, decontaminate, licenses, ordering, pii, preference, quality, secrets, simhash, toxicity
+from civicrill.llm import alignment, audit, bpe, decontaminate, language, licenses, ordering, pii, preference, quality, secrets, simhash, toxicity
 from civicrill.llm.common import documents, read
 
 
@@ -57,6 +57,19 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return alignment.report(documents(spark, sf_dir), byte_level, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_language_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_pii_boosting": op2_pii_boosting,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_language_cross_parsing": op13_language_cross_parsing,
 }
 
-ORACLE: dict[str, str] = {"op3_preference_pairs": preference.EARLIER_ANSWERS}
+ORACLE: dict[str, str] = {"op3_preference_pairs": preference.EARLIER_ANSWERS, "op11_filter_interactions": audit.SQL}
