@@ -94,10 +94,11 @@ def linked():
         if any(b"".join(p) != raw for p in parts):
             return [], [], "", []
         ends = [list(itertools.accumulate(map(len, p))) for p in parts]
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for x in sorted(set(ends[0]) & set(ends[1])):
-            groups.append("|".join(",".join(str(i) for i, e in zip(own, end, strict=True) if low < e <= x) for own, end in zip(ids, ends, strict=True)))
-            low = x
+            upto = [end.index(x, k) + 1 for end, k in zip(ends, at, strict=True)]
+            groups.append("|".join(",".join(map(str, own[k:n])) for own, k, n in zip(ids, at, upto, strict=True)))
+            at = upto
         links, j = [], 0
         for i, e, p in zip(ids[0], ends[0], parts[0], strict=True):
             while j and ends[1][j - 1] > e - len(p):
