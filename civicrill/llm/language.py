@@ -83,10 +83,27 @@ class Languages:
 
     names: list[str]
     symbol: np.ndarray
-    steps: np.ndarray
+    width: int
+    #: Root of each language and the end of the last one; then places and values of the steps that do not start anew.
     roots: np.ndarray
+    at: np.ndarray
+    to: np.ndarray
     costs: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.steps = np.zeros(int(self.roots[-1]), np.int32)
+        for r, end in zip(self.roots[:-1].tolist(), self.roots[1:].tolist(), strict=True):
+            root = np.full(self.width, r * 4 + 1, np.int32)
+            own = slice(*np.searchsorted(self.at, [r, r + self.width]))
+            root[self.at[own] - r] = self.to[own]
+            self.steps[r:end] = np.tile(root + 1, (end - r) // self.width)
+            self.steps[r : r + self.width] = root
+        self.steps[self.at] = self.to
+
+    def __reduce__(self) -> tuple:
+        """Tasks get the transitions alone and build the table, which is some ten times as large."""
+        return Languages, (self.names, self.symbol, self.width, self.roots, self.at, self.to, self.costs)
+
     def symbols(self, text: str) -> np.ndarray:
         """Letters folded to lower case, each run of other characters as one 0, none at the ends."""
         found = self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
@@ -103,7 +120,7 @@ class Languages:
         flat = np.concatenate([texts[i] for i in order]).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
         sizes = lengths[order]
         starts = np.r_[0, np.cumsum(sizes)][: len(sizes)]
-        state = np.tile(self.roots, (len(texts), 1))
+        state = np.tile(self.roots[:-1], (len(texts), 1))
         count = np.zeros((len(texts), len(self.names)), np.int32)
         done = 0
         active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
@@ -125,7 +142,7 @@ class Languages:
                     n += step & 3
                     at = step >> 2
                 state[i, j], count[i, j] = at, n
-        count += state != self.roots
+        count += state != self.roots[:-1]
         out = np.empty_like(count)
         out[order] = count
         return out
@@ -159,25 +176,21 @@ def fit(rows: list[tuple[str, str]]) -> Languages:
         if c.isalpha():
             symbol[code] = number.get(c.lower(), 1)
     width, share = len(number) + 2, SAMPLE_CHARS // max(1, len(names))
-    empty = Languages(names, symbol, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
-    tables, roots, costs, base = [], [], [], 0
+    none = np.zeros(0, np.int32)
+    alphabet = Languages([], symbol, width, np.zeros(1, np.int32), none, none, np.zeros(0))
+    roots, at, to, costs = [0], [], [], []
     for name in names:
-        read = [s for t in texts[name] for s in [*empty.symbols(t).tolist(), 0]][:share]
+        read = [s for t in texts[name] for s in [*alphabet.symbols(t).tolist(), 0]][:share]
         # a letter that the alphabet has no place for is known to no language
         moves = automaton([s for s in read if s != 1])
-        steps = np.full((len(moves), width), -1, np.int64)
+        base = roots[-1]
         for i, m in enumerate(moves):
-            steps[i, list(m)] = [base + q * width for q in m.values()]
-        anew = np.where(steps[0] < 0, base * 4 + 1, steps[0] * 4)
-        known = steps >= 0
-        steps = np.where(known, steps * 4, anew[None, :] + 1)
-        steps[0] = anew
-        tables.append(steps.astype(np.int32).ravel())
-        roots.append(base)
+            for s in sorted(m):
+                at.append(base + i * width + s)
+                to.append((base + m[s] * width) * 4)
+        roots.append(base + len(moves) * width)
         costs.append(np.log2(len(read) + 1))
-        base += len(moves) * width
-    steps = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-    return Languages(names, symbol, steps, np.array(roots, np.int32), np.array(costs))
+    return Languages(names, symbol, width, *(np.array(x, np.int32) for x in (roots, at, to)), np.array(costs))
 
 
 def sample(docs: DataFrame) -> DataFrame:
