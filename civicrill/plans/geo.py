@@ -7,10 +7,14 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicrill.functions.numbers import in_polygon, ring_area
+from civicrill.functions.numbers import ring_area
+from civicrill.operators.grid import points_in_areas
 from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
+#: Edge of a cell of the grid; an area is about ten wide.
+CELL = 4.0
+
 #: The same areas in SQL: corners, and edges from each corner to the next.
 EDGES = """k AS (SELECT n_nationkey AS area, n_nationkey % 5 * 12 AS p, n_nationkey // 5 * 12 AS q, n_nationkey % 3 AS s FROM nation),
 r AS (SELECT area, 0 AS ring, [p, p + 9, p + 10, p - 1] AS xs, [q, q + s, q + 9, q + 8] AS ys FROM k UNION ALL SELECT area, 1, [p + 3, p + 5, p + 5, p + 3], [q + 3, q + 3, q + 5, q + 5] FROM k WHERE area % 2 = 0),
@@ -37,11 +41,8 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EDGES}, {SPOTS}, c AS (SELECT point, area, ring, COUNT(*) FILTER (WHERE (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / CASE WHEN b_y = ay THEN 1 ELSE b_y - ay END + ax) % 2 AS odd FROM spots, e GROUP BY 1, 2, 3)
 SELECT point, area FROM c GROUP BY 1, 2 HAVING SUM(odd) % 2 = 1""")
 def point_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN24, MA04: all areas that contain a point, holes left out. The areas are one row for each nation and carry a box, which decides most pairs."""
-    box = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
-    a = areas(spark, sf_dir).select("area", "rings", *[box(f, c).alias(f"{c}{k}") for c in "xy" for k, f in (("0", F.array_min), ("1", F.array_max))])
-    near = spots(spark, sf_dir).join(a, F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    return near.filter(in_polygon(F.col("rings"), F.col("x"), F.col("y"))).select("point", "area")
+    """JN24, MA04: all areas that contain a point, holes left out. Areas and points meet by cells of a grid."""
+    return points_in_areas(spots(spark, sf_dir), areas(spark, sf_dir), "point", "area", CELL)
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT area, ring, abs(SUM(ax * b_y - bx * ay)) / 2 AS size FROM e GROUP BY 1, 2) SELECT area, SUM(size) FILTER (WHERE ring = 0) AS outer_ring, coalesce(SUM(size) FILTER (WHERE ring > 0), 0.0) AS holes FROM s GROUP BY 1""")
