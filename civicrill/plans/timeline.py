@@ -12,6 +12,8 @@ from civicrill.operators.transcripts import blocks, carried, without_repeats
 from civicrill.plans.registry import query
 from civicrill.plans.standins import CONTRACTS, contracts
 from civicrill.sources.tables import table
+from civicrill.streaming.recent import AGE, KEEP, drained, recent_changes
+from civicrill.streaming.weekly import events
 
 EVENTS = f"""{CONTRACTS}, timeline AS (
   SELECT 'contract-' || id AS id, CAST(signed AS DATE) AS day, 'day' AS precision, 'contract' AS kind, CAST(amount AS DOUBLE) AS amount, CASE direction WHEN 'undetermined' THEN 'disputed' ELSE 'fact' END AS certainty, day IS NULL AS suspicious FROM contracts
@@ -163,3 +165,14 @@ def tolerant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PJ14, PJ19: fields read on demand from loosely typed records; what is absent or unreadable is null."""
     v = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("person"), v.alias("v")).groupBy("person").agg(F.count("v").alias("known"), F.min("v").alias("least"), F.max("v").alias("most"), F.count_if(F.col("v") > 50).alias("large"))
+
+
+@query(f"""WITH o AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
+  FROM (SELECT DISTINCT ON (user_id, ts, event_id) * FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL)),
+c AS (SELECT * FROM o WHERE before IS NOT NULL AND before <> event_type),
+k AS (SELECT *, list_filter(list(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {KEEP - 1} PRECEDING AND CURRENT ROW), lambda t: t > ts - INTERVAL {AGE.days} DAY) AS times FROM c)
+SELECT user_id, event_id, epoch_us(ts) AS ts, before, event_type AS after, len(times) AS kept, epoch_us(times[1]) AS oldest FROM k""")
+def recent_changes_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each user's events out of a stream with bounded state, drained; the same rows as a window over the table."""
+    rows = drained(recent_changes(events(spark, sf_dir)), spark)
+    return rows.withColumns({c: F.unix_micros(c) for c in ("ts", "oldest")})
