@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicrill.operators.keyed import top_k
@@ -14,8 +14,8 @@ BUCKETS = 64
 
 
 def terms(text: Column) -> Column:
-    """Words of letters and figures, in lower case."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    """Words of letters and figures, in lower case; none of a null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,12 +36,9 @@ def write_index(docs: DataFrame, key: str, text: str = "text", buckets: int = BU
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     rows = postings(docs, key, text).withColumn("bucket", bucket)
     rows.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{at}/postings")
-    docs.filter(f"{key} is not null").select(key, F.size(terms(F.col(text))).alias("length")).write.parquet(f"{at}/lengths")
-    return read_index(spark, at)
-
-
-def read_index(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/lengths")
+    sizes = docs.filter(f"{key} is not null").select(key, F.size(terms(F.col(text))).alias("length"))
+    sizes.write.parquet(f"{at}/lengths")
+    return spark.read.schema(rows.schema).parquet(f"{at}/postings"), spark.read.schema(sizes.schema).parquet(f"{at}/lengths")
 
 
 def ranked(index: tuple[DataFrame, DataFrame], questions: DataFrame, question: str, key: str, k: int, text: str = "text", buckets: int = BUCKETS) -> DataFrame:

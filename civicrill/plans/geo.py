@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicrill.functions.geodesy import world, world_sql
 from civicrill.functions.numbers import ring_area
 from civicrill.operators.grid import points_in_areas
 from civicrill.plans.registry import query
@@ -76,3 +77,14 @@ def drawing_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = o.filter(F.col("i") % F.ceil(F.col("n") / 140) == 0)
     px = F.floor(F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * F.col("narrow"), F.col("span")), F.lit(0.0)) * 1000 + 0.5)
     return kept.select("brand", "point", px.alias("px"), _pixel(F.col("y"), F.col("y0"), F.col("span")).alias("py"))
+
+
+GRID = "grid AS (SELECT p_partkey AS point, -866718.0 + p_partkey * 37 % 4000 - 2000 AS east, -1038323.0 + p_partkey * 53 % 4000 - 2000 AS north FROM part WHERE p_partkey IS NOT NULL)"
+
+
+@query(f"WITH {GRID}, {world_sql('grid')} SELECT point, lon, lat FROM world")
+def grid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MA03: places of the national grid as longitude and latitude; parts stand for places around the town."""
+    k = F.col("p_partkey")
+    at = world(k * 37 % 4000 - 2000 + F.lit(-866718.0), k * 53 % 4000 - 2000 + F.lit(-1038323.0))
+    return table(spark, sf_dir, "part").filter("p_partkey is not null").select(k.alias("point"), at.alias("at")).select("point", "at.lon", "at.lat")

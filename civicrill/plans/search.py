@@ -13,8 +13,8 @@ HITS = 10
 #: A question's phrase is its first words, so many.
 PHRASE = 4
 WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-RANKED = f"""w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id IS NOT NULL), l AS (SELECT doc_id, len(ws) AS length FROM w),
-t AS (SELECT COUNT(*) AS docs, AVG(coalesce(length, -1)) AS mean FROM l), p AS (SELECT doc_id, term, COUNT(*) AS n FROM (SELECT doc_id, unnest(ws) AS term FROM w) GROUP BY 1, 2),
+RANKED = f"""w AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents WHERE doc_id IS NOT NULL), l AS (SELECT doc_id, coalesce(len(ws), 0) AS length FROM w),
+t AS (SELECT COUNT(*) AS docs, AVG(length) AS mean FROM l), p AS (SELECT doc_id, term, COUNT(*) AS n FROM (SELECT doc_id, unnest(ws) AS term FROM w) GROUP BY 1, 2),
 f AS (SELECT term, COUNT(*) AS df FROM p GROUP BY 1), a AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark WHERE item_id IS NOT NULL),
 s AS (SELECT item_id, doc_id, SUM(CAST(round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * length / mean)) * 1e9) AS BIGINT)) AS w, COUNT(*) AS found
   FROM a JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2),

@@ -46,7 +46,10 @@ def _processor() -> StatefulProcessor:
                 last = (r.ts.to_pydatetime(), r.event_id, r.event_type)
             if last is not None:
                 self.last.update(last)
-            self.changes.put([(t,) for t in kept])
+            if kept:
+                self.changes.put([(t,) for t in kept])
+            else:
+                self.changes.clear()
             yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "before", "after", "kept", "oldest"])
 
         def close(self) -> None:
