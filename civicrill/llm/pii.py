@@ -4,7 +4,7 @@ Strict finders give the base spans. High-recall generators propose wider, overla
 format and context features score them, and a threshold calibrated for each generator on held-out documents
 selects further redactions. Two models are fitted. For the first, a proposal is a positive example when it covers a
 base span: the trees learn what personal data look like in this corpus, without the checks (check digits, ranges)
-that made the base spans. The second is for formats that no base pattern has: proposals that cover a base span are
+that made the base spans. A number whose check digit fails is never selected, nor an example of either. The second is for formats that no base pattern has: proposals that cover a base span are
 left out, and a weak label that the base patterns do not define (check digits of an account, a valid IPv6 address, a
 written-out mail address, a cue before a number) makes a positive example. Either may select. Generators of a strict form
 find the parts of longer runs, such as two cards side by side, which a base pattern takes as one match and drops.
@@ -58,6 +58,10 @@ STRICT = ("digits", "dialled")
 CUES = "(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|account|iban|address|ip|host|server|telefon|konto|karte|carte|correo|tarjeta|cuenta|téléphone)[^\\p{L}]{0,6}$"
 #: Words that announce a number of a person, as whole words; of the same list.
 NUMBER_CUES = "(?i)(?<!\\p{L})(?:phone|tel|call|fax|mobile|contact|card|visa|account|telefon|konto|karte|carte|tarjeta|cuenta|téléphone)[^\\p{L}]{0,6}$"
+#: Where selected spans overlap, the generator of the stricter form wins.
+FIRST = ("digits", "dialled", "account", "address", "mailbox", "number")
+#: Patterns that are learned from at most, the most frequent ones; all proposals are scored.
+MAX_PATTERNS = 100_000
 PRECISION, SUPPORT = 0.98, 20
 TREES, DEPTH = 16, 3
 
@@ -76,6 +80,11 @@ def _ipv6(x: Column) -> Column:
     return ~x.contains(".") & F.when(x.contains("::"), groups <= 7).otherwise(groups == 8)
 
 
+def refuted(s: Column) -> Column:
+    """Whether a proposal has as many digits as a card and their check fails."""
+    return s["kind"].isin("number", "digits") & F.length(digits(s["value"])).between(14, 19) & ~_card(s["value"])
+
+
 def weak(s: Column) -> Column:
     """Whether a proposal is an example of its generator's format by a check that no base pattern makes."""
     x = s["value"]
@@ -85,7 +94,7 @@ def weak(s: Column) -> Column:
         .when(s["kind"] == "mailbox", x.rlike("(?i)[\\[(](?:at|dot)[\\])]") & x.rlike("[A-Za-z]{2}$"))
         .when(s["kind"] == "digits", _card(x))
         .when(s["kind"] == "dialled", F.length(digits(x)).between(10, 15))
-        .otherwise(s["before"].rlike(NUMBER_CUES))
+        .otherwise(s["before"].rlike(NUMBER_CUES) & ~refuted(s))
     )
 
 
@@ -98,7 +107,7 @@ def _bucket(x: Column, *edges: int) -> Column:
 
 
 def features(s: Column) -> list[Column]:
-    """Small categories of one proposed span; their sizes multiply to the bound on patterns (6*8*4*2*4*2*4*4*3*3*2*4*2)."""
+    """Small categories of one proposed span."""
     x, d = s["value"], digits(s["value"])
     side = lambda c: F.when(c == "", 0).when(c.rlike("^\\s$"), 1).when(c.rlike("^[\\p{L}\\p{N}_]$"), 2).otherwise(3)
     return [
@@ -114,12 +123,12 @@ def features(s: Column) -> list[Column]:
         F.when(x.rlike("[()\\[\\]]"), 1).when(x.rlike("[\\x20/-]"), 2).otherwise(0),
         F.when(x.rlike("[A-Za-z]"), 1).otherwise(0),
         F.when(x.contains("::"), 3).otherwise(_bucket(F.length(x) - F.length(F.translate(x, ":", "")), 1, 7)),
-        F.when((s["kind"] == "digits") & _card(x), 1).otherwise(0),
+        F.when(refuted(s), 2).when(s["kind"].isin("number", "digits") & _card(x), 1).otherwise(0),
     ]
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row, written to the shared folder: ``keep``, __fits, __base and __proposed (start, stop, no, kind, label, weak, f).
+    """One row per input row, written to the shared folder: ``keep``, __fits, __base and __proposed (start, stop, no, kind, label, weak, refuted, f).
 
     A hash of the text decides whether a row fits or calibrates, so copies stay on one side and no layout of files matters.
     """
@@ -127,7 +136,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     base = src.withColumn("__found", find_all(F.col("__clean"), base=BASE, wide=PROPOSED)).select(*keep, "__fits", F.col("__found.base").alias("__base"), F.col("__found.wide").alias("__wide"))
 
     def look(grouped: Column) -> Column:
-        one = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (s["no"] - len(BASE)).alias("no"), s["kind"].alias("kind"), touches(grouped, s).alias("label"), F.coalesce(weak(s), F.lit(False)).alias("weak"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
+        one = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (s["no"] - len(BASE)).alias("no"), s["kind"].alias("kind"), touches(grouped, s).alias("label"), F.coalesce(weak(s), F.lit(False)).alias("weak"), F.coalesce(refuted(s), F.lit(False)).alias("refuted"), F.array(*[f.cast("int") for f in features(s)]).alias("f"))
         return F.transform("__wide", one)
 
     slim = F.transform("__base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "stop", "no", "kind")]))
@@ -142,7 +151,8 @@ def train(found: DataFrame):
     """
     strict = {i for i, f in enumerate(PROPOSED) if f.kind in STRICT}
     seen = found.select(F.col("__fits").alias("fits"), F.explode("__proposed").alias("p"))
-    counted = seen.groupBy("fits", "p.f", "p.label", "p.weak").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = seen.groupBy("fits", "p.f", "p.label", "p.weak").agg(F.count(F.lit(1)).alias("n"))
+    counted = counts.orderBy(F.desc("n"), *counts.columns[:4]).limit(MAX_PATTERNS).collect()
     out = []
     for positive in ("label", "weak"):
         parts: dict[bool, dict[tuple, Pattern]] = {True: {}, False: {}}
@@ -158,7 +168,7 @@ def train(found: DataFrame):
 
 
 def selected(found: DataFrame) -> Column:
-    """The proposals of a row that the trees select and no base span overlaps; numbered after the base kinds."""
+    """The proposals of a row that the trees select and no base span overlaps, nor each other; numbered after the base kinds."""
     models = [(model, limits) for model, limits in train(found) if any(map(isfinite, limits.values()))]
     if not models:
         return F.array().cast("array<struct<start:int,stop:int,no:int,kind:string>>")
@@ -170,8 +180,19 @@ def selected(found: DataFrame) -> Column:
                 limit = F.when(p["no"] == i, F.lit(t)).otherwise(limit)
         return F.coalesce(score >= limit - 1e-9, F.lit(False))
 
-    chosen = lambda p: ~p["label"] & reduce(lambda a, b: a | b, [passes(p, *m) for m in models])
-    return F.transform(F.filter("__proposed", chosen), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), (p["no"] + len(BASE)).alias("no"), p["kind"].alias("kind")))
+    usable = lambda p: ~p["label"] & ~p["refuted"] & reduce(lambda a, b: a | b, [passes(p, *m) for m in models])
+    calibrated = {i for _, limits in models for i, t in limits.items() if isfinite(t)}
+    order = [i for k in FIRST for i, f in enumerate(PROPOSED) if f.kind == k and i in calibrated]
+
+    def kept(chosen: Column, before: Column, rest: list[int]) -> Column:
+        """The chosen spans of the generators in order, each unless it touches what stays of those before it."""
+        if not rest:
+            return before
+        free = lambda grouped: F.filter(chosen, lambda p: (p["no"] == rest[0]) & ~touches(grouped, p))
+        return let(F.concat(before, let(runs(before), free)), lambda more: kept(chosen, more, rest[1:]))
+
+    best = let(F.filter("__proposed", usable), lambda c: kept(c, F.filter(c, lambda p: p["no"] == order[0]), order[1:]))
+    return F.transform(best, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), (p["no"] + len(BASE)).alias("no"), p["kind"].alias("kind")))
 
 
 def scan(docs: DataFrame) -> DataFrame:

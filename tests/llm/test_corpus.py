@@ -197,6 +197,28 @@ def card(i):
     return body + str(next(d for d in range(10) if luhn(body + str(d))))
 
 
+def test_pii_finds_parts_of_dropped_runs_in_any_layout(spark):
+    """Two cards, or a phone and an address, side by side: the base patterns take and drop them as one. Files may be cut anyhow."""
+    texts = [f"card {card(i)} of {i}" for i in range(200)] + [f"call +1 ({200 + i}) 555-{1000 + i} now" for i in range(200)] + [f"card {card(i)[:-1]}{(int(card(i)[-1]) + 1) % 10} of {i}" for i in range(100)]
+    texts += [f"card {card(901)} {card(902)} of", "dial +1 (204) 555-7777 190.137.223.204 there"]
+    df = spark.createDataFrame(rows(texts), DOCS)
+    scans = [pii.scan(df.repartition(n)) for n in (1, 7)]
+    columns, results = scans[0].columns, [collections.Counter(tuple(r) for r in s.collect()) for s in scans]
+    assert results[0] == results[1]
+    got = {r[0]: dict(zip(columns, r, strict=True)) for r in results[0]}
+    assert got[500]["spans"] == "digits:5:21,digits:22:38" and got[500]["n_card"] == 0
+    assert got[501]["spans"] == "dialled:5:22,ip:23:38" and all(got[i]["n_selected"] == 0 for i in range(400, 500))
+
+
+def test_pii_precision_on_what_can_be_selected(spark):
+    """Numbers behind a cue that no base span covers: phones in a foreign form are selected, cards with a wrong check digit are not."""
+    bad = lambda i: f"{card(i)[:-1]}{(int(card(i)[-1]) + 1 + i % 9) % 10}"
+    texts = [f"card {card(i)} of" for i in range(150)] + [f"card {bad(i)} of" for i in range(300)] + [f"phone 0{i % 9 + 1}55/{2000 + i}-{100 + i} of" for i in range(200)] + [f"lot {3000000 + i} of" for i in range(200)]
+    got = {r["doc_id"]: r["n_selected"] for r in pii.scan(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    right, wrong = sum(got[i] for i in range(450, 650)), sum(got[i] for i in [*range(150, 450), *range(650, 850)])
+    assert right >= 190 and right / (right + wrong) >= 0.98 and all(got[i] == 0 for i in range(150, 450))
+
+
 def test_pii_weak_labels(spark):
     cases = [("account", "", "GB82 WEST 1234 5698 7654 32", True), ("account", "", "GB82WEST12345698765433", False), ("account", "", "DE89370400440532013000", True), ("address", "", "2001:db8:0:0:0:0:0:1", True), ("address", "", "fe80::1", True)]
     cases += [("address", "", "00:1a:2b:3c:4d:5e", False), ("address", "", "1.2.3.4", False), ("mailbox", "", "a [at] b [dot] org", True), ("mailbox", "", "a@b.org", False), ("number", "my Tel. ", "2015550123", True), ("number", "hotel ", "2015550123", False)]
