@@ -3,7 +3,7 @@
 A text block is a run of words, wherever it starts and whatever lines it crosses: it begins with a word of the template
 and is 1 / THRESHOLD times as long. A template matches a block that holds at least THRESHOLD of the template's distinct
 words, all of those that tell its license from others (required), and none that would make it another license
-(forbidden). Blocks are joined in overlapping pieces, each twice the longest block, so that every block lies whole in
+(forbidden); a short template's words must stand in its order. Blocks are joined in overlapping pieces, each twice the longest block, so that every block lies whole in
 one piece. The words of the templates are ordered by their frequency over all pieces, rarest first: a block that reaches
 the threshold must share a word of the template's prefix (prefix filter), must have enough words (length filter), and
 the place of the first shared word bounds how many can follow (positional filter). Pairs that pass the filters are
@@ -28,6 +28,21 @@ from civicrill.llm.decontaminate import words_of
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Elements of Creative Commons licenses, short and long.
 ELEMENTS = {"nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+#: Identifiers of licenses as files state them, with their labels; fixed values.
+IDENTIFIERS = (
+    ("MIT", "mit"),
+    ("ISC", "isc"),
+    ("Apache-2.0", "apache-2"),
+    ("MPL-2.0", "mpl-2"),
+    ("BSD-2-Clause", "bsd-2"),
+    ("BSD-3-Clause", "bsd-3"),
+    ("GPL-2.0", "gpl-2"),
+    ("GPL-3.0", "gpl-3"),
+    ("LGPL-2.1", "lgpl-2.1"),
+    ("LGPL-3.0", "lgpl-3"),
+    ("AGPL-3.0", "agpl-3"),
+    ("Unlicense", "unlicense"),
+)
 
 
 def _creative_commons() -> Iterator[tuple[str, str, str, str]]:
@@ -61,9 +76,24 @@ TEMPLATES = (
     ("This work is licensed under the GNU Affero General Public License", "agpl", "affero gnu general public", ""),
     ("This is free and unencumbered software released into the public domain", "unlicense", "unencumbered", ""),
     *_creative_commons(),
+    ("Licensed under the MIT License", "mit", "mit", ""),
+    ("The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "mit", "noninfringement kind", ""),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "bsd", "redistributions retain", ""),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3", "endorse contributors neither", ""),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License", "apache-2", "apache 2 compliance", ""),
+    ("Released under the ISC License", "isc", "isc", ""),
+    ("Licensed under the ISC License", "isc", "isc", ""),
+    *[(f"Licensed under the terms of the GNU General Public License, version {v} or later", f"gpl-{v}", f"gnu {v} general public", "lesser affero library") for v in (2, 3)],
+    *[(f"Licensed under GPLv{v}", f"gpl-{v}", f"gplv{v}", "") for v in (2, 3)],
+    *[(f"Licensed under {a}GPL version {v}", f"{a}gpl-{v}".lower(), f"{a}gpl {v}".lower(), "") for a, v in (("L", 2.1), ("L", 3), ("A", 3), ("", 2), ("", 3))],
+    *[(f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version", f"lgpl-{v}", f"lesser gnu {v} general public", "affero") for v in (2.1, 3)],
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "agpl-3", "affero gnu 3 general public", "lesser"),
+    *[(f"SPDX-License-Identifier: {name}", label, f"spdx {name.lower().replace('-', ' ').replace('.', ' ')}", "") for name, label in IDENTIFIERS],
 )
 #: Labels of any version; left out where a text names a version of theirs.
-GENERIC = ("gpl",)
+GENERIC = ("gpl", "lgpl", "agpl", "bsd")
+#: A template of so few different words must stand in its own order; words between its own may be missing or added.
+SHORT = 8
 THRESHOLD = 0.8
 #: Templates are held in each task; a longer list is refused.
 MAX_TEMPLATES = 10_000
@@ -78,6 +108,8 @@ class Template:
     span: int
     required: tuple[bytes, ...]
     forbidden: frozenset[bytes]
+    #: Different words in the order of the text, where that order counts.
+    order: tuple[bytes, ...] | None
 
     @property
     def needed(self) -> int:
@@ -93,7 +125,8 @@ def templates(texts=TEMPLATES) -> list[Template]:
         ws, must = words_of(text.encode()), tuple(words_of(required.encode()))
         if not must or not set(must) <= set(ws):
             raise ValueError(f"required words of {text!r}")
-        out.append(Template(i, label, frozenset(ws), ceil(len(ws) / THRESHOLD - 1e-9), must, frozenset(words_of(forbidden.encode()))))
+        own = tuple(dict.fromkeys(ws))
+        out.append(Template(i, label, frozenset(ws), ceil(len(ws) / THRESHOLD - 1e-9), must, frozenset(words_of(forbidden.encode())), own if len(own) <= SHORT else None))
     return out
 
 
@@ -147,8 +180,9 @@ def similar(found: DataFrame, texts=TEMPLATES) -> DataFrame:
     for t in named:
         order = sorted((w.decode() for w in t.words), key=rank.__getitem__)
         must, never = [w.decode() for w in t.required], [w.decode() for w in t.forbidden]
-        rows += [(w, t.no, t.label, order, must, never, t.needed, t.span, place) for place, w in enumerate(order[: len(order) - t.needed + 1])]
-    prefix = spark.createDataFrame(rows, "word string, no int, label string, template array<string>, required array<string>, forbidden array<string>, needed int, span int, place int")
+        text = [w.decode() for w in t.order] if t.order else None
+        rows += [(w, t.no, t.label, order, must, never, text, t.needed, t.span, place) for place, w in enumerate(order[: len(order) - t.needed + 1])]
+    prefix = spark.createDataFrame(rows, "word string, no int, label string, template array<string>, required array<string>, forbidden array<string>, stated array<string>, needed int, span int, place int")
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     known = F.filter("words", lambda w: ranks[w].isNotNull())
     sorted_words = F.transform(F.sort_array(F.transform(known, lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda s: s["w"])
@@ -165,6 +199,8 @@ def similar(found: DataFrame, texts=TEMPLATES) -> DataFrame:
     def held(block: Column) -> Column:
         """Words of the template in a block, or null where the block is another license's or none's."""
         fits = (F.size(F.array_except("required", block)) == 0) & ~F.arrays_overlap(block, F.col("forbidden"))
+        # both without repeats and in the order of their first array
+        fits &= F.col("stated").isNull() | (F.array_intersect(block, "stated") == F.array_intersect("stated", block))
         return F.when(fits, F.size(F.array_intersect(block, "template")))
 
     starts = F.filter("places", lambda p: F.array_contains("template", p["word"]))

@@ -446,6 +446,10 @@ def license_labels(text):
         span, words = -(-len(ws) * 5 // 4), set(ws)
         for j in (j for j, w in enumerate(flat) if w in words):
             block = set(flat[j : j + span])
+            own, met = list(dict.fromkeys(ws)), [w for w in dict.fromkeys(flat[j : j + span]) if w in words]
+            if len(own) <= licenses.SHORT and met != [w for w in own if w in block]:
+                continue
+            required, forbidden = (" ".join(WORDS.findall(x)) for x in (required, forbidden))
             if set(required.split()) <= block and not block & set(forbidden.split()) and (c := len(words & block) / len(words)) >= licenses.THRESHOLD:
                 best[label] = max(c, best.get(label, 0))
     return best
@@ -480,6 +484,17 @@ STATED = [
     ("Licensed under the Apache\nLicense, Version 2.0", "apache-2"),
     ("Licensed under the Apache License, Version 1.1", ""),
     ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ""),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1"),
+    ("Licensed under the terms of the GNU General Public License, version 3 or later", "gpl-3"),
+    ("Licensed under GPLv2", "gpl-2"),
+    ("Licensed under LGPL version 3", "lgpl-3"),
+    ("// SPDX-License-Identifier: MIT", "mit"),
+    ("# SPDX-License-Identifier: Apache-2.0", "apache-2"),
+    ("Released under the ISC License", "isc"),
+    ("Redistributions of source code must retain the above copyright\n# notice, this list of conditions and the following disclaimer.", "bsd"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit"),
+    ("The MIT license was written; the BSD license was released under", ""),
+    ("identifier of an SPDX expression that names MIT is no license", ""),
     ("the this is a work licensed and under free to of use any copy person license", ""),
 ]
 
