@@ -22,21 +22,41 @@ from civicrill.llm.common import cut
 
 #: Labelled rows at most, the first by hash of their id.
 SAMPLE_ROWS = 6_000
-#: Features at most, the best by chi-square among those of MIN_ROWS rows or more.
+#: Features at most, in even shares the best of each category by chi-square, among those of MIN_ROWS rows or more.
 FEATURES, MIN_ROWS = 512, 5
 FOLDS, NEWTON, RIDGE = 5, 10, 1e-3
 #: Label columns of 0 and 1 along the chain, where the table has them; 1 is turned to 0 for those of good texts. The last one decides.
 CHAIN, GOOD = ("quality", "toxic"), ("quality",)
 PREFIXES, COUNTS = (5, 7), (1, 2, 4)
 
+#: Steps of the measures of a text's shape; a feature says that a measure reaches a step.
+SHARES, LENGTHS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), tuple(2**k for k in range(3, 14))
+
 _WORDS = re.compile(r"[^\W_]+").findall
+_SYMBOLS, _CAPITALS = re.compile(r"[#$%&*|<>!]").findall, re.compile(r"[A-Z]").findall
+
+
+def shape(text: str) -> list[str]:
+    """Steps that length and repetition reach: words, distinct words, repeated word triples, repeated lines, symbols, capitals."""
+    words = text.split()
+    lines = [x for x in text.split("\n") if x.strip()]
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    n, again = max(1, len(words)), lambda some: 1 - len(set(some)) / len(some) if some else 0.0
+    shares = {
+        "distinct": len(set(words)) / n,
+        "triples": again(triples),
+        "lines": again(lines),
+        "symbols": len(_SYMBOLS(text)) / n,
+        "capitals": len(_CAPITALS(text)) / max(1, len(text)),
+    }
+    return [f"#words{k}" for k in LENGTHS if n >= k] + [f"#{name}{k}" for name, x in shares.items() for k in SHARES if x >= k]
 
 
 def features(text: str | None) -> set[str]:
-    """Whole words, and word beginnings with the number of different words that share them."""
+    """Whole words, word beginnings with the number of different words that share them, and the text's shape."""
     words = set(_WORDS((text or "").lower()))
     starts = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
-    return {f"={w}" for w in words} | {f"{p}*{c}" for p, n in starts.items() for c in COUNTS if n >= c}
+    return {f"={w}" for w in words} | {f"{p}*{c}" for p, n in starts.items() for c in COUNTS if n >= c} | set(shape(text or ""))
 
 
 @dataclass
@@ -51,9 +71,10 @@ class Chain:
     def __post_init__(self) -> None:
         self.at = {f: i for i, f in enumerate(self.features)}
         self.words = {f[1:]: i for f, i in self.at.items() if f[0] == "="}
+        self.shapes = {f: i for f, i in self.at.items() if f[0] == "#"}
         self.starts: dict[str, list[tuple[int, int]]] = {}
         for f, i in self.at.items():
-            if f[0] != "=":
+            if f[0] not in "=#":
                 p, c = f.rsplit("*", 1)
                 self.starts.setdefault(p, []).append((int(c), i))
 
@@ -64,6 +85,8 @@ class Chain:
         if self.starts:
             for p, n in Counter([p for w in words for k in PREFIXES if len(w) > k and (p := w[:k]) in self.starts]).items():
                 out += [i for c, i in self.starts[p] if n >= c]
+        if self.shapes:
+            out += [self.shapes[f] for f in shape(text or "") if f in self.shapes]
         return out
 
     def chances(self, texts: list[str | None]) -> np.ndarray:
@@ -146,6 +169,28 @@ def fit(rows: list[tuple[int, list[int], list[int | None]]], names: tuple[str, .
     return Chain(names, chosen, weights, best_limit(held, np.array([r[2][-1] for r in rows], np.float64)))
 
 
+def choose(sample: DataFrame, labels: list[str]) -> list[str]:
+    """The features of ``sample`` (features, 0/1 labels) that tell the classes of any label apart, an even share of FEATURES for each.
+
+    Rows without a label do not count for it. A label of one class alone chooses none. Ties go by the feature's text.
+    """
+    both = lambda y: (F.count(y).alias(f"n{y}"), F.sum(y).alias(f"k{y}"))
+    totals = sample.agg(*[x for y in labels for x in both(y)]).first()
+    counts = sample.select(*labels, F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), *[x for y in labels for x in both(y)])
+    counts = cut(counts.filter(F.col("rows") >= MIN_ROWS), "toxicity-features")
+    chosen: dict[str, None] = {}
+    for y in labels:
+        n, k = totals[f"n{y}"], totals[f"k{y}"] or 0
+        if not 0 < k < n:
+            continue
+        c, p = F.col(f"n{y}"), F.col(f"k{y}")
+        expected = c * F.lit(k / n)
+        chi = (p - expected) ** 2 / (expected * (1 - F.lit(k / n)) * (1 - c / F.lit(n)) + 1e-9)
+        best = counts.filter(c > 0).orderBy(chi.desc(), "feature").limit(FEATURES // len(labels))
+        chosen |= dict.fromkeys(r["feature"] for r in best.select("feature").collect())
+    return list(chosen)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None) -> Chain:
     """A chain fitted on at most SAMPLE_ROWS labelled documents. Rows with a null id, text or last label are no examples.
 
@@ -170,12 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     # copies of a text share a fold, so none is predicted by a model that has seen it
     folds = joined.select(*ys, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     sample = cut(folds.mapInPandas(run, folds.drop("text").withColumn("features", F.array(F.lit(""))).schema), "toxicity")
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(last).alias("k")).first()
-    n, k = totals["n"], totals["k"] or 0
-    word = sample.select(last, F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.sum(last).alias("p")).filter(F.col("c") >= MIN_ROWS)
-    expected = F.col("c") * F.lit(k / max(1, n))
-    chi = (F.col("p") - expected) ** 2 / (expected * (1 - F.lit(k / max(1, n))) * (1 - F.col("c") / F.lit(max(1, n))) + 1e-9)
-    chosen = [r["feature"] for r in word.orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()] if 0 < k < n else []
+    chosen = choose(sample, ys)
     at = {f: i for i, f in enumerate(chosen)}
     own = F.filter("features", lambda f: f.isin(*chosen)) if chosen else F.array().cast("array<string>")
     rows = [(r["fold"], sorted(at[f] for f in r["own"]), [r[y] for y in ys]) for r in sample.select("fold", own.alias("own"), *ys).collect()]
