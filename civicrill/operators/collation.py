@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicrill.sources.shared import written
+from civicrill.operators.keyed import places
 
 #: Czech rules: ch after h, letters with hooks after their plain ones, accents and case only where all else is equal.
 CZECH, CZECH_PLAIN = "cs", "cs_CI_AI"
@@ -30,14 +30,7 @@ def initials(rows: DataFrame, name: str) -> DataFrame:
     return rows.filter(text != "").groupBy(plain.alias("initial")).agg(F.count(F.lit(1)).alias("names"))
 
 
-def placed(rows: DataFrame, name: str, *rest: str, partitions: int = 8) -> DataFrame:
-    """``rows`` with their place from 1 in the order of listed(): places within a partition plus the rows of those before it.
-
-    The sorted ranges are written once, so that both passes see the same partitions; one number for each of them is broadcast.
-    """
-    file = F.spark_partition_id()
-    part = listed(rows, name, *rest, partitions=partitions).withColumn("__part", file).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(file.cast("long"), 33))
-    part = written(part, "listed")
-    counts = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return part.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+def placed(rows: DataFrame, name: str, *rest: str) -> DataFrame:
+    """``rows`` with their place from 1 in Czech order of ``name``, then by ``rest``; no task holds all of them."""
+    whole = rows.withColumn("__all", F.lit(1))
+    return places(whole, ["__all"], by_rules(F.col(name)), *[F.col(c) for c in rest]).drop("__all")

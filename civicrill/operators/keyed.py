@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicrill.sources.shared import written
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One whole row of each key, the first in ``order`` (make it unique). An aggregate, so hot keys fold before the shuffle."""
@@ -19,6 +21,21 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFra
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def places(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """``df`` with the place (long, from 1) of each row within its key in ``order`` (make it unique), for keys of any size.
+
+    Rows are sorted over all tasks by ranges of key and order and written once; a row's place is its place in the range plus
+    the key's rows in the ranges before. What is joined back is one row for each key and range that holds it.
+    """
+    part = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
+    part = written(part.withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "places")
+    held = part.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__from"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__n")
+    shift = held.select("__part", *[F.col(k).alias(f"__{k}") for k in keys], (before - F.col("__from") + 1).alias("__shift"))
+    on = [part["__part"] == shift["__part"], *[part[k].eqNullSafe(shift[f"__{k}"]) for k in keys]]
+    return part.join(shift, on).select(*[part[c] for c in df.columns], (F.col("__at") + F.col("__shift")).alias("place"))
+
+
 def dense(df: DataFrame, key: str, at: str, first: Column, last: Column) -> DataFrame:
     """(key, at) for each whole number from first to last of each key."""
     spans = df.groupBy(key).agg(first.alias("__a"), last.alias("__b")).filter("__a is not null")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civicrill.functions.geodesy import world, world_sql
 from civicrill.functions.numbers import ring_area
 from civicrill.operators.grid import points_in_areas
+from civicrill.operators.keyed import places
 from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
@@ -68,12 +69,10 @@ def _pixel(value: Column, low: Column, span: Column) -> Column:
 o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY point) - 1 AS i FROM spots) SELECT brand, point, CAST(floor(coalesce((x - x0) * narrow / nullif(span, 0), 0) * 1000 + 0.5) AS BIGINT) AS px, CAST(floor(coalesce((y - y0) / nullif(span, 0), 0) * 1000 + 0.5) AS BIGINT) AS py FROM o JOIN b USING (brand) WHERE i % CAST(ceil(n / 140.0) AS BIGINT) = 0""")
 def drawing_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MA05: points of a layer scaled to a drawing, east-west narrowed by the latitude, thinned to about 140."""
-    from pyspark.sql import Window
-
     s = spots(spark, sf_dir)
     narrow = F.cos((F.min("y") + F.max("y")) / 2 * F.lit(pi / 180))
     b = s.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), narrow.alias("narrow"), F.greatest((F.max("x") - F.min("x")) * narrow, F.max("y") - F.min("y")).alias("span"))
-    o = s.withColumn("i", F.row_number().over(Window.partitionBy("brand").orderBy("point")) - 1).join(b, "brand")
+    o = places(s, ["brand"], F.col("point")).withColumn("i", F.col("place") - 1).join(b, "brand")
     kept = o.filter(F.col("i") % F.ceil(F.col("n") / 140) == 0)
     px = F.floor(F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * F.col("narrow"), F.col("span")), F.lit(0.0)) * 1000 + 0.5)
     return kept.select("brand", "point", px.alias("px"), _pixel(F.col("y"), F.col("y0"), F.col("span")).alias("py"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicrill.functions import text as T
 from civicrill.functions.numbers import exact, ratio
-from civicrill.operators.keyed import top_k
+from civicrill.operators.keyed import places, top_k
 from civicrill.plans.registry import query
 from civicrill.sources.tables import spread, table
 
@@ -155,8 +155,8 @@ def sampled_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PJ08, SO01: a state by precedence, unknown when nothing tells; mixed order with a unique tie-breaker."""
     state = F.when(F.col("s_acctbal") < 0, "closed").when(F.col("s_suppkey") % 7 == 0, "in liquidation").when(F.col("s_acctbal") > 5000, "active")
-    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.coalesce("s_acctbal", F.lit(0.0)).desc(), "s_suppkey"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), state.alias("state"), F.coalesce(state, F.lit("unknown")).alias("shown"), place.cast("long").alias("place"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", F.coalesce("s_acctbal", F.lit(0.0)).alias("balance"), state.alias("state"), F.coalesce(state, F.lit("unknown")).alias("shown"))
+    return places(rows, ["s_nationkey"], F.desc("balance"), F.col("id")).select("id", "state", "shown", "place")
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS a, o_orderpriority AS b FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS rank FROM e) SELECT a, b, rank FROM r WHERE rank <= 3""")

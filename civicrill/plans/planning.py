@@ -114,13 +114,22 @@ n AS (SELECT *, SUM(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_
 j AS (SELECT doc_id, CAST(article AS BIGINT) AS article, MIN(line) FILTER (WHERE heading) AS heading, string_agg(CASE WHEN line LIKE '%-' THEN rtrim(line, '-') ELSE line || ' ' END, '' ORDER BY pos) FILTER (WHERE NOT heading) AS body FROM n GROUP BY 1, 2)"""
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, line and whether the line is a heading, by the middling length of the document's lines; all within its row."""
+#: Characters that no text uses, around headings.
+OPENS, CLOSES = "\ufdd0", "\ufdd1"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ls (pos, line of the lines that are not blank) and middling, the middling length of these lines; all within its row."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("pos"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
     d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("ls"))
     lengths = F.sort_array(F.transform("ls", lambda x: F.length(x["line"])))
     middling = F.get("lengths", F.greatest(F.lit(0), F.ceil(F.size("lengths") * F.lit(0.5)).cast("int") - 1))
-    each = d.withColumn("lengths", lengths).withColumn("middling", middling).select("doc_id", "middling", F.explode("ls").alias("x"))
+    return d.withColumn("lengths", lengths).withColumn("middling", middling)
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos, line and whether the line is a heading, by the middling length of the document's lines."""
+    each = _lines(spark, sf_dir).select("doc_id", "middling", F.explode("ls").alias("x"))
     heading = (F.length("x.line") <= F.col("middling") * HEADING_PART) & (F.size(F.split("x.line", " ")) <= HEADING_WORDS)
     return each.select("doc_id", "x.pos", "x.line", heading.alias("heading"))
 
@@ -133,12 +142,17 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ARTICLES} SELECT doc_id, article, heading, length(body) AS chars, md5(body) AS body, regexp_extract(body, '(?s)^(.{{0,{LEAD}}}?[.!?])(?:\\s|$)', 1) AS lead FROM j WHERE length(body) >= {LEAST_ARTICLE}""")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX28: a heading opens an article, the blocks below it are its body, hyphens at line ends joined; short ones go. The lead is the first sentence, if it is short."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    n = _blocks(spark, sf_dir).withColumn("article", F.count_if("heading").over(w))
-    part = F.when(F.col("line").endswith("-"), F.regexp_replace("line", "-+$", "")).otherwise(F.concat("line", F.lit(" ")))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("heading"), F.struct("pos", part.alias("part"))))), lambda x: x["part"]), "")
-    a = n.groupBy("doc_id", "article").agg(F.min(F.when(F.col("heading"), F.col("line"))).alias("heading"), joined.alias("b")).filter(F.length("b") >= LEAST_ARTICLE)
+    """TX28: a heading opens an article, the blocks below it are its body, hyphens at line ends joined; short ones go. The lead is the first sentence, if it is short.
+
+    All of a document is worked out in its row: lines are joined with marks before headings and after them, and cut there again.
+    """
+    heading = lambda x: (F.length(x) <= F.col("middling") * HEADING_PART) & (F.size(F.split(x, " ")) <= HEADING_WORDS)
+    body = lambda x: F.when(x.endswith("-"), F.regexp_replace(x, "-+$", "")).otherwise(F.concat(x, F.lit(" ")))
+    marked = F.transform("ls", lambda x: F.when(heading(x["line"]), F.concat(F.lit(OPENS), x["line"], F.lit(CLOSES))).otherwise(body(x["line"])))
+    parts = F.split(F.array_join(marked, ""), OPENS)
+    a = _lines(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("article", "part"))
+    after = F.when(F.col("article") == 0, F.col("part")).otherwise(F.substring_index("part", CLOSES, -1))
+    a = a.select("doc_id", F.col("article").cast("long").alias("article"), F.when(F.col("article") > 0, F.substring_index("part", CLOSES, 1)).alias("heading"), after.alias("b")).filter(F.length("b") >= LEAST_ARTICLE)
     return a.select("doc_id", "article", "heading", F.length("b").cast("long").alias("chars"), F.md5("b").alias("body"), F.regexp_extract("b", f"(?s)^(.{{0,{LEAD}}}?[.!?])(?:\\s|$)", 1).alias("lead"))
 
 
@@ -303,12 +317,12 @@ def heritage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(F.array_contains(towns, "Brand#7") | F.array_contains(towns, "ECONOMY")).select(k.alias("id"), F.coalesce(main, size / 2.0).alias("x"), F.when(main.isNull(), "indirect").otherwise("main").alias("point"), year.cast("long").alias("year"))
 
 
-@query("""WITH d AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'xml' ELSE 'html' END AS format, regexp_replace(url, '^[a-z]+://([^/]*).*$', '\\1') AS name FROM pages) SELECT name, arg_min(url, (CASE format WHEN 'csv' THEN 0 ELSE 1 END, page_id)) AS source, COUNT(*) AS offered FROM d WHERE regexp_matches(name, '^[a-z]*an[a-z.]*$') AND format <> 'html' GROUP BY 1""")
+@query("""WITH d AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'xml' ELSE 'html' END AS format, regexp_replace(url, '^[a-z]+://([^/]*).*$', '\\1') AS name FROM pages) SELECT name, arg_min(url, (CASE format WHEN 'csv' THEN 0 ELSE 1 END, page_id)) AS source, COUNT(*) AS offered FROM d WHERE regexp_matches(name, '^(?:blog|www|m)[.]th[a-z]*[.]example[.](?:net|com)$') AND format <> 'html' GROUP BY 1""")
 def catalogue_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC19: data sets of a catalogue whose whole name fits a pattern, and of each the distribution of the best format."""
     form = F.when(F.col("page_id") % 3 == 0, "csv").when(F.col("page_id") % 3 == 1, "xml").otherwise("html")
     d = table(spark, sf_dir, "pages").select("page_id", "url", form.alias("format"), F.regexp_replace("url", "^[a-z]+://([^/]*).*$", "$1").alias("name"))
-    kept = d.filter(F.col("name").rlike("^[a-z]*an[a-z.]*$") & (F.col("format") != "html"))
+    kept = d.filter(F.col("name").rlike("^(?:blog|www|m)[.]th[a-z]*[.]example[.](?:net|com)$") & (F.col("format") != "html"))
     return kept.groupBy("name").agg(F.min_by("url", F.struct(F.when(F.col("format") == "csv", 0).otherwise(1), "page_id")).alias("source"), F.count(F.lit(1)).alias("offered"))
 
 

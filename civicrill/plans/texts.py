@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicrill.functions import text as T
 from civicrill.functions.numbers import ratio
 
+from civicrill.operators.keyed import places
 from civicrill.operators.text_match import frequencies, rare_matches, tokens_of, weighted_jaccard
 from civicrill.plans.registry import query
+from civicrill.sources.shared import written
 from civicrill.sources.tables import spread, table
 
 #: The same word string in SQL.
@@ -83,8 +85,10 @@ POINTS = "CASE WHEN df <= 5 THEN 26 WHEN df <= 15 THEN 18 WHEN df <= 45 THEN 11
 r AS (SELECT *, COUNT(*) OVER (PARTITION BY item_id) AS rivals, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, shared DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, shared, rivals, rank FROM r WHERE rivals <= 8 AND rank <= 3""")
 def rare_term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN11, PG02: matches by rare terms; items with more than eight candidates are left undecided."""
-    t = _tokens(spark, sf_dir)
-    return rare_matches(_bench(spark, sf_dir), t, "item_id", "doc_id", frequencies(t, "doc_id"), 150, F.expr(POINTS), 60, 3, 8).select("item_id", "doc_id", "score", "shared", "rivals", F.col("rank").cast("long").alias("rank"))
+    asked = _bench(spark, sf_dir)
+    # texts are read and split once; only tokens that an item has are counted
+    t = written(_tokens(spark, sf_dir).join(asked.select("token").distinct(), "token", "left_semi"), "tokens")
+    return rare_matches(asked, t, "item_id", "doc_id", frequencies(t, "doc_id"), 150, F.expr(POINTS), 60, 3, 8).select("item_id", "doc_id", "score", "shared", "rivals", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH k AS (SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS k FROM documents) SELECT k AS fingerprint, MIN(doc_id) AS doc_id, COUNT(*) AS merged FROM k GROUP BY 1""")
@@ -156,7 +160,9 @@ def money_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("id", T.largest_amount(F.col("text")).alias("amount"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id AS id, lower(strip_accents(text)) AS plain FROM documents), g AS (SELECT id, {_A} AS a, {_B} AS b, {_C} AS c FROM t),
+v AS (SELECT id, list_transform(range(1, len(a) + 1), lambda i: (try_cast(regexp_replace(a[i], '[ .]', '', 'g') AS DOUBLE) + coalesce(try_cast('0.' || nullif(nullif(b[i], '-'), '') AS DOUBLE), 0.0)) * CASE WHEN c[i] LIKE 'tis%' THEN 1e3 WHEN c[i] LIKE 'mil%' THEN 1e6 WHEN c[i] LIKE 'mld%' THEN 1e9 ELSE 1.0 END) AS found FROM g)
+SELECT id AS doc_id, list_max(list_filter(found, lambda x: x <= {T.CEILING})) AS amount FROM v""")
 def money_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX13, TX14: money_in_text over whole documents."""
     return _texts(spark, sf_dir).select("doc_id", T.largest_amount(F.col("text")).alias("amount"))
@@ -207,8 +213,8 @@ def precision_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n, lang FROM documents) SELECT lang, CAST((n - 1) // 60 AS BIGINT) AS page, MIN(doc_id) AS least_id, COUNT(*) AS rows FROM s GROUP BY 1, 2""")
 def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO04, SO05: pages of sixty in a fixed order."""
-    n = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id"))
-    return _documents(spark, sf_dir).select("doc_id", "lang", F.floor((n - 1) / 60).alias("page")).groupBy("lang", "page").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+    rows = places(_documents(spark, sf_dir).select("doc_id", "lang", "n_chars"), ["lang"], F.desc("n_chars"), F.col("doc_id"))
+    return rows.select("doc_id", "lang", F.floor((F.col("place") - 1) / 60).alias("page")).groupBy("lang", "page").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_name || CASE c_custkey % 4 WHEN 0 THEN ', a.s.' WHEN 1 THEN ' spol. s r.o.' WHEN 2 THEN ' GmbH' ELSE '' END AS name FROM customer) SELECT k, name, 'customer ' || lpad(CAST(k AS VARCHAR), 9, '0') AS core, true AS usable FROM c""")

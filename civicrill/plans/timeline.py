@@ -44,18 +44,25 @@ def timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(spark, sf_dir).groupBy("kind", "certainty").agg(F.count(F.lit(1)).alias("n"), F.min(good).cast("string").alias("first"), F.max(good).cast("string").alias("last"), F.count_if(F.col("suspicious")).alias("suspicious"), F.sum(exact(F.col("amount"))).cast("double").alias("amount"))
 
 
-@query("""WITH p AS (SELECT DATE '2024-01-08' + CAST(7 * i AS INTEGER) AS stop FROM range(4) t(i)) SELECT CAST(stop - 7 AS VARCHAR) AS start, CAST(stop AS VARCHAR) AS stop, event_type AS section, COUNT(event_id) AS items, CASE WHEN COUNT(event_id) = 0 THEN 'empty' ELSE 'ok' END AS state
-FROM p CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN (SELECT event_id, event_type AS et, CAST(ts AS DATE) AS d FROM events WHERE event_type <> 'error' OR day(ts) > 9) e ON et = event_type AND d BETWEEN stop - 7 AND stop GROUP BY 1, 2, 3""")
+@query("""WITH r AS (SELECT CAST(MIN(ts) AS DATE) AS a, CAST(MAX(ts) AS DATE) AS b FROM events WHERE event_type IS NOT NULL), p AS (SELECT CAST(unnest(generate_series(a + 7, b, INTERVAL 7 DAY)) AS DATE) AS stop FROM r) SELECT CAST(stop - 7 AS VARCHAR) AS start, CAST(stop AS VARCHAR) AS stop, event_type AS section, COUNT(event_id) AS items, CASE WHEN COUNT(event_id) = 0 THEN 'empty' ELSE 'ok' END AS state
+FROM p CROSS JOIN (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL) k LEFT JOIN (SELECT event_id, event_type AS et, CAST(ts AS DATE) AS d FROM events WHERE event_type <> 'error' OR day(ts) > 9) e ON et = event_type AND d BETWEEN stop - 7 AND stop GROUP BY 1, 2, 3""")
 def weekly_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DT09, FL01: issues of eight days, both ends included, so neighbours share a day; empty sections stay. A day is dealt to its at most two issues instead of a range join."""
-    stops = [f"2024-01-{d:02d}" for d in (8, 15, 22, 29)]
-    e = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("d"))
-    kept = e.filter((F.col("event_type") != "error") | (F.dayofmonth("d") > 9))
-    ends = F.filter(F.array(*[F.lit(s).cast("date") for s in stops]), lambda s: F.col("d").between(F.date_sub(s, 7), s))
-    n = kept.select("event_type", F.explode(ends).alias("stop")).groupBy("event_type", "stop").agg(F.count(F.lit(1)).alias("n"))
-    axis = e.select("event_type").distinct().withColumn("stop", F.explode(F.array(*[F.lit(s).cast("date") for s in stops])))
-    items = F.coalesce("n", F.lit(0).cast("long"))
-    return axis.join(n, ["event_type", "stop"], "left").select(F.date_sub("stop", 7).cast("string").alias("start"), F.col("stop").cast("string").alias("stop"), F.col("event_type").alias("section"), items.alias("items"), F.when(items == 0, "empty").otherwise("ok").alias("state"))
+    """DT09, FL01: issues of eight days, both ends included, so neighbours share a day, from the first event on; empty sections stay.
+
+    The number of a day's issues follows from its distance to the first day, so each day is dealt to its at most two issues.
+    """
+    e = table(spark, sf_dir, "events").filter("event_type is not null").select("event_type", F.to_date("ts").alias("d"))
+    # one row
+    ends = e.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    issues = F.floor(F.datediff("last", "first") / 7)
+    kept = e.filter((F.col("event_type") != "error") | (F.dayofmonth("d") > 9)).crossJoin(F.broadcast(ends)).withColumn("at", F.datediff("d", "first"))
+    own = F.floor(F.col("at") / 7) + 1
+    both = F.filter(F.array(own, F.when(F.col("at") % 7 == 0, own - 1)), lambda i: i.between(1, issues))
+    n = kept.select("event_type", F.explode(both).alias("issue")).groupBy("event_type", "issue").agg(F.count(F.lit(1)).alias("n"))
+    axis = e.select("event_type").distinct().crossJoin(F.broadcast(ends.filter(issues >= 1).select("first", F.explode(F.sequence(F.lit(1).cast("long"), issues)).alias("issue"))))
+    items, stop = F.coalesce("n", F.lit(0).cast("long")), F.date_add("first", (F.col("issue") * 7).cast("int"))
+    rows = axis.join(n, ["event_type", "issue"], "left")
+    return rows.select(F.date_sub(stop, 7).cast("string").alias("start"), stop.cast("string").alias("stop"), F.col("event_type").alias("section"), items.alias("items"), F.when(items == 0, "empty").otherwise("ok").alias("state"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'speaker ' || CAST(turn AS VARCHAR) END AS heading FROM conversations) SELECT conv_id, turn, last_value(heading IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS speaker FROM t""")
