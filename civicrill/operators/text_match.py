@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicrill.operators.keyed import top_k
+from civicrill.sources.shared import written
 
 #: Of sums of weights, against rounding; only filters of candidates have it.
 SLACK = 1e-6
@@ -24,29 +25,34 @@ def frequencies(tokens: DataFrame, key: str) -> DataFrame:
 def weighted_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: DataFrame, least: float, weight: Column) -> DataFrame:
     """(a_key, b_key, shared, overlap, similarity) of all pairs whose similarity is ``least`` or more, which is above 0.
 
-    ``weight`` is a positive expression over df. Tokens are ordered by frequency, rarest first. At its first shared
-    token a pair has no more overlap than the side ``a`` still holds from there: this rest must reach ``least`` of its
-    own weight (prefix filter) and what the overlap of two such weights needs (length and positional filters). No pair
-    at the threshold is lost, however frequent its tokens; each is verified once, at its first shared token.
+    ``weight`` is a positive expression over df. The tokens of a row that the other side has are ordered by frequency, rarest
+    first, and each knows what they weigh from there on (rest). At its first shared token a pair has no more overlap
+    than either rest, so rests must reach ``least`` of their own row's weight (prefix filter on both sides) and what the
+    overlap of two such weights needs (length and positional filters). No pair at the threshold is lost, however frequent its tokens.
+    What remains is verified by joins on ids and tokens; no row carries the tokens of another.
     """
-    w = df.withColumn("w", weight).join(a.select("token").distinct().withColumn("common", F.lit(True)), "token", "left")
-
-    def side(t: DataFrame, k: str, total: str, own: str) -> DataFrame:
-        """(k, total weight, its tokens that ``a`` has, in order)."""
-        listed = F.collect_list(F.when(F.col("common"), F.struct("df", "token", "w")))
-        return t.join(w, "token").groupBy(k).agg(F.sum("w").alias(total), F.array_sort(listed).alias(own)).filter(F.size(own) > 0)
-
-    weigh = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t["w"])
-    tokens = lambda x: F.transform(x, lambda t: t["token"])
-    prefix = side(a, a_key, "wa", "own").select(a_key, "wa", tokens(F.col("own")).alias("mine"), "own", F.posexplode("own").alias("at", "x"))
-    prefix = prefix.select(a_key, "wa", "mine", F.col("x.token").alias("token"), weigh(F.slice("own", F.col("at") + 1, F.size("own"))).alias("rest")).filter(F.col("rest") >= F.col("wa") * least - SLACK)
-    texts = side(b, b_key, "wb", "theirs").withColumn("most", weigh(F.col("theirs"))).select(b_key, "wb", "most", "theirs", F.explode(tokens(F.col("theirs"))).alias("token"))
+    weighed = df.withColumn("w", weight.cast("double"))
+    both = a.select("token").distinct().join(b.select("token").distinct(), "token")
+    shared = written(weighed.join(both, "token"), "weights")
     needed = (F.col("wa") + F.col("wb")) * (least / (1 + least)) - SLACK
-    met = texts.join(prefix, "token").filter(F.least("rest", "most") >= needed)
-    shared = F.filter("theirs", lambda t: F.array_contains("mine", t["token"]))
-    first = met.withColumn("both", shared).filter(F.col("both")[0]["token"] == F.col("token")).withColumn("overlap", weigh(F.col("both")))
+
+    def side(t: DataFrame, k: str, total: str, rest: str) -> tuple[DataFrame, DataFrame]:
+        """(k, token, w, total) of shared tokens, and those of them in the prefix with their rest; rows that cannot reach ``least`` are left out."""
+        totals = t.join(weighed.select("token", "w"), "token").groupBy(k).agg(F.sum("w").alias(total))
+        own = t.join(shared, "token")
+        most = own.groupBy(k).agg(F.sum("w").alias("__most")).join(totals, k).filter(F.col("__most") >= F.col(total) * least - SLACK).select(k, total)
+        own = written(own.join(most, k).select(k, "token", "df", "w", total), "side")
+        onward = Window.partitionBy(k).orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
+        prefix = own.withColumn(rest, F.sum("w").over(onward)).filter(F.col(rest) >= F.col(total) * least - SLACK)
+        return own.select(k, "token", "w", total), prefix.select(k, "token", total, rest)
+
+    (own_a, prefix_a), (own_b, prefix_b) = side(a, a_key, "wa", "__ra"), side(b, b_key, "wb", "__rb")
+    met = prefix_a.join(prefix_b, "token").filter(F.least("__ra", "__rb") >= needed)
+    pairs = met.select(a_key, b_key).distinct()
+    again = pairs.join(own_a, a_key).join(own_b.select(b_key, "token", "wb"), [b_key, "token"])
+    sums = again.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("overlap"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
     union = F.col("wa") + F.col("wb") - F.col("overlap")
-    out = first.select(a_key, b_key, F.size("both").cast("long").alias("shared"), "overlap", F.try_divide(F.col("overlap"), union.cast("double")).alias("similarity"))
+    out = sums.select(a_key, b_key, "shared", "overlap", F.try_divide(F.col("overlap"), union).alias("similarity"))
     return out.filter(F.col("similarity") >= least)
 
 

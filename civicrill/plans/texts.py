@@ -74,7 +74,7 @@ s AS (SELECT doc_id, item_id, COUNT(*) AS shared, SUM(w) AS o FROM c JOIN tok US
 SELECT doc_id, item_id, shared, CAST(o AS DOUBLE) AS overlap, o / (wa + wb - o) AS similarity FROM s JOIN a USING (doc_id) JOIN b USING (item_id) WHERE o / (wa + wb - o) >= 0.15""")
 def weighted_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX07, JN13: weighted overlap of documents and items; every pair of the least similarity, however frequent its tokens."""
-    t = _tokens(spark, sf_dir)
+    t = written(_tokens(spark, sf_dir), "tokens")
     return weighted_jaccard(_bench(spark, sf_dir), t, "item_id", "doc_id", frequencies(t, "doc_id"), 0.15, F.expr(WEIGHT))
 
 
