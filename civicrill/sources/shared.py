@@ -32,9 +32,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def removed(df: DataFrame) -> None:
-    """Delete the files of a table that written() made."""
-    spark = df.sparkSession
+    """Delete the files of a table that written() made, once all that was derived from it has been used."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def removed_all(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that still read it are lost."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")

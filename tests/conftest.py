@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from civicrill.sources.shared import removed_all  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,4 +21,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    removed_all(session)
     session.stop()
