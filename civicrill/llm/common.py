@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicrill.sources.shared import removed, removed_all, shared_dir
 from civicrill.sources.tables import spread
 
 #: Key of a row within one operator; never leaves it.
@@ -24,19 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, a temporary one may stand in."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def cut(df: DataFrame, label: str, *folders: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that lineage ends in files that survive executors.
 
@@ -48,21 +35,14 @@ def cut(df: DataFrame, label: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that cut() made, once all that was derived from it has been written elsewhere."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+    removed(df)
 
 
 def discard_all(spark: SparkSession) -> None:
     """Remove all files that cut() wrote for this application; call it when the results have been used."""
-    _remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    removed_all(spark)
 
 
 def numbered(df: DataFrame) -> DataFrame:
