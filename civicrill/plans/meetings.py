@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicrill.functions.numbers import exact, total
 from civicrill.operators.keyed import first_by, top_k
+from civicrill.plans.money import CANDIDATES, candidates
 from civicrill.plans.registry import query
 from civicrill.plans.standins import CONTRACTS, contracts
 from civicrill.sources.tables import table
@@ -167,12 +168,17 @@ def short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts(spark, sf_dir).withColumn("title", title).select("id", F.substring("title", 1, 160).alias("short"), (F.length("title") > 160).alias("cut"), F.when(F.col("direction") == "undetermined", "undisclosed direction").alias("reason")).withColumnRenamed("short", "title")
 
 
-@query(f"""WITH {CONTRACTS} SELECT direction || '-' || year(signed) || '-' || owner || '__' || id AS id, concat_ws('; ', CASE WHEN amount IS NULL THEN 'amount unknown' END, CASE WHEN day IS NULL THEN 'day unknown' END, CASE WHEN party % 25 = owner THEN 'same holding' END) AS reasons FROM contracts""")
+@query(f"""WITH {CANDIDATES}, b AS (SELECT p_id, MAX({{'s': score, 'g': -abs(gap), 'c': -c_id, 'gap': gap, 'h': hard}}) AS x FROM cand GROUP BY 1)
+SELECT direction || '-' || year(signed) || '-' || p_id || '__' || -x.c AS id, x.s AS score, concat_ws('; ', 'same party', x.gap || ' days', CASE WHEN x.h THEN 'amount agrees' END, CASE WHEN amount IS NULL THEN 'amount unknown' END) AS reasons
+FROM b JOIN (SELECT DISTINCT id, direction, signed, amount FROM contracts) ON id = p_id""")
 def pair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PJ05: the shape of a matched pair: an id of organ, year, point and contract, and its reasons as one text."""
-    c = contracts(spark, sf_dir)
-    reasons = F.concat_ws("; ", F.when(F.col("amount").isNull(), "amount unknown"), F.when(F.col("day").isNull(), "day unknown"), F.when(F.col("party") % 25 == F.col("owner"), "same holding"))
-    return c.select(F.concat("direction", F.lit("-"), F.year("signed").cast("string"), F.lit("-"), F.col("owner").cast("string"), F.lit("__"), F.col("id").cast("string")).alias("id"), reasons.alias("reasons"))
+    """PJ05: the shape of a matched pair: an id of organ, year, point and contract, and the evidence as one text; each point's best contract."""
+    found = candidates(spark, sf_dir).select("p_id", F.struct(F.col("score").alias("s"), (-F.abs("gap")).alias("g"), (-F.col("c_id")).alias("c"), "gap", "hard").alias("x"))
+    best = found.groupBy("p_id").agg(F.max("x").alias("x"))
+    rows = best.join(contracts(spark, sf_dir).select(F.col("id").alias("p_id"), "direction", "signed", "amount").distinct(), "p_id")
+    reasons = F.concat_ws("; ", F.lit("same party"), F.concat(F.col("x.gap").cast("string"), F.lit(" days")), F.when(F.col("x.hard"), "amount agrees"), F.when(F.col("amount").isNull(), "amount unknown"))
+    key = F.concat("direction", F.lit("-"), F.year("signed").cast("string"), F.lit("-"), F.col("p_id").cast("string"), F.lit("__"), (-F.col("x.c")).cast("string"))
+    return rows.select(key.alias("id"), F.col("x.s").alias("score"), reasons.alias("reasons"))
 
 
 @query(f"""WITH {CONTRACTS} SELECT party, COUNT(*) AS contracts, COUNT(*) FILTER (WHERE amount IS NULL) AS undisclosed, CAST(coalesce(SUM(amount), 0) AS DOUBLE) AS total FROM contracts WHERE party % 25 = owner GROUP BY 1""")

@@ -171,7 +171,7 @@ def as_of_best_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEP, EARLY, LATE = 365, -545, 730
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points (order, line) against contracts of the same party: identity, time, amount and priority as evidence.
 
     Both sides meet by party and step of time, so a party of very many contracts is spread over its years.
@@ -201,7 +201,7 @@ FROM k p JOIN k c ON p.party = c.party WHERE p.id % 2 = 0 AND c.id % 2 = 1 AND c
 @query(f"WITH {CANDIDATES} SELECT p_id, c_id, gap, score, hard FROM cand WHERE score >= 62 AND gap >= 0")
 def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN05, JN06, MA01: additive evidence for pairs of point and contract."""
-    return _candidates(spark, sf_dir).filter("score >= 62 and gap >= 0")
+    return candidates(spark, sf_dir).filter("score >= 62 and gap >= 0")
 
 
 @query(f"""WITH {CANDIDATES}, s AS (SELECT * FROM cand WHERE score >= 62 AND gap >= 0), near AS (SELECT * FROM (SELECT *, MAX(score) OVER (PARTITION BY c_id) AS best FROM s) WHERE score >= best - 12),
@@ -210,7 +210,7 @@ keep AS (SELECT * FROM rival WHERE hard OR (by_contract <= 3 AND by_point <= 3))
 SELECT p_id, c_id, score, gap, rank, CASE WHEN hard AND score >= 98 AND by_contract = 1 THEN 'high' WHEN hard OR score >= 78 THEN 'medium' ELSE 'low' END AS certainty FROM (SELECT *, row_number() OVER (PARTITION BY c_id ORDER BY score DESC, abs(gap), p_id) AS rank FROM keep) WHERE rank <= 3""")
 def ambiguity_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN08, PG02: near-best pairs only; soft pairs with more than three rivals on either side are dropped, not guessed."""
-    s = _candidates(spark, sf_dir).filter("score >= 62 and gap >= 0")
+    s = candidates(spark, sf_dir).filter("score >= 62 and gap >= 0")
     by_contract, by_point = Window.partitionBy("c_id"), Window.partitionBy("p_id")
     near = s.withColumn("best", F.max("score").over(by_contract)).filter("score >= best - 12")
     rival = near.withColumns({"n_c": F.count(F.lit(1)).over(by_contract), "n_p": F.count(F.lit(1)).over(by_point)}).filter("hard or (n_c <= 3 and n_p <= 3)")
@@ -222,7 +222,7 @@ def ambiguity_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CANDIDATES} SELECT c_id, arg_max(p_id, (score, gap, -p_id)) AS p_id, MAX(score) AS score FROM cand WHERE gap < 0 AND hard GROUP BY 1")
 def best_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN07: contracts signed before the decision: only the best pair with a hard signal, as a warning."""
-    return _candidates(spark, sf_dir).filter("gap < 0 and hard").groupBy("c_id").agg(F.max_by("p_id", F.struct("score", "gap", -F.col("p_id"))).alias("p_id"), F.max("score").alias("score"))
+    return candidates(spark, sf_dir).filter("gap < 0 and hard").groupBy("c_id").agg(F.max_by("p_id", F.struct("score", "gap", -F.col("p_id"))).alias("p_id"), F.max("score").alias("score"))
 
 
 @query(f"""WITH {CONTRACTS}, a AS (SELECT id, party, amount AS x FROM contracts), b AS (SELECT id, lag(amount) OVER (PARTITION BY party ORDER BY signed, id) AS y FROM contracts),
