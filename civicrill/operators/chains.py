@@ -14,13 +14,13 @@ ROUNDS = 40
 def beginnings(links: DataFrame, key: str, before: str, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
     """((key, root, hops), rounds): where the chain of each row begins, and how many links lie between.
 
-    ``links`` has unique keys; ``before`` is null where a chain begins, and so is one that names no row of the table. Each
+    ``links`` has unique keys; ``before`` is null where a chain begins, and so is one that names no row of the table or its own. Each
     round replaces a row's pointer by its pointer's pointer, so steps double: a chain of n links takes log2(n) + 1
     rounds. Rows that have met their beginning take no further step. The side that is looked up has one row a key; many
     rows that point to one beginning are dealt by Spark's handling of skew. Raises ValueError when pointers run in a circle.
     """
     known = links.select(F.col(key).alias("__b")).filter("__b is not null")
-    rows = links.filter(f"{key} is not null").join(known, F.col(before) == F.col("__b"), "left")
+    rows = links.filter(f"{key} is not null").join(known, (F.col(before) == F.col("__b")) & (F.col(before) != F.col(key)), "left")
     state = written(rows.select(key, F.coalesce("__b", key).alias("root"), F.col("__b").isNotNull().cast("int").alias("hops"), F.col("__b").isNotNull().alias("open")), "chains")
     first, met, going, took = state.filter("not open"), None, state.filter("open"), 0
     while not going.isEmpty():

@@ -80,14 +80,15 @@ MONTHS = 36
 
 def amendment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, previous (null for an original, and where nothing of the party is near enough), party, amount, gap in months."""
-    c = contracts(spark, sf_dir).select("id", "party", "signed", "amount", "direction", (F.year("signed") * 12 + F.month("signed")).alias("month"))
+    one = contracts(spark, sf_dir).filter("id is not null").groupBy("id").agg(F.min(F.struct("party", "signed", "amount", "direction")).alias("c"))  # a repeated id is one contract
+    c = one.select("id", "c.*").withColumn("month", F.year("signed") * 12 + F.month("signed"))
     before = Window.partitionBy("party").orderBy("signed", "id")
     gap = F.col("month") - F.lag("month").over(before)
     previous = F.when((F.col("direction") != "expense") & (gap <= MONTHS), F.lag("id").over(before))
     return c.select("id", "party", "signed", "amount", previous.alias("previous"), F.when(previous.isNotNull(), gap).alias("gap"))
 
 
-LINKS = f"""{CONTRACTS}, o AS (SELECT id, party, signed, amount, direction, year(signed) * 12 + month(signed) AS m FROM contracts),
+LINKS = f"""{CONTRACTS}, o AS (SELECT DISTINCT ON (id) id, party, signed, amount, direction, year(signed) * 12 + month(signed) AS m FROM contracts WHERE id IS NOT NULL ORDER BY id, party NULLS FIRST, signed NULLS FIRST, amount NULLS FIRST, direction),
 g AS (SELECT *, lag(id) OVER w AS last_id, m - lag(m) OVER w AS apart FROM o WINDOW w AS (PARTITION BY party ORDER BY signed, id)),
 links AS (SELECT id, party, signed, amount, CASE WHEN direction <> 'expense' AND apart <= {MONTHS} THEN last_id END AS previous, CASE WHEN direction <> 'expense' AND apart <= {MONTHS} THEN apart END AS gap FROM g)"""
 

@@ -175,7 +175,7 @@ def tolerant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
-  FROM (SELECT DISTINCT ON (user_id, ts, event_id) * FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL)),
+  FROM (SELECT DISTINCT ON (user_id, ts, event_id) * FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL)),
 c AS (SELECT * FROM o WHERE before IS NOT NULL AND before <> event_type),
 k AS (SELECT *, list_filter(list(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {KEEP - 1} PRECEDING AND CURRENT ROW), lambda t: t > ts - INTERVAL {AGE.days} DAY) AS times FROM c)
 SELECT user_id, event_id, epoch_us(ts) AS ts, before, event_type AS after, len(times) AS kept, epoch_us(times[1]) AS oldest FROM k""")

@@ -63,9 +63,10 @@ def recent_changes(stream: DataFrame) -> DataFrame:
 
     kept counts the changes remembered with this one, KEEP at most and none older than AGE; oldest is the first of them.
     Events of a user in one batch are put in order; an event not after the last one that was seen (late, or delivered
-    again) is left out. Rows with a null in ts, event_id or event_type are left out.
+    again) is left out. Rows with a null in user_id, ts, event_id
+    or event_type are left out.
     """
-    known = stream.filter("ts is not null and event_id is not null and event_type is not null")
+    known = stream.filter("user_id is not null and ts is not null and event_id is not null and event_type is not null")
     return known.groupBy("user_id").transformWithStateInPandas(_processor(), CHANGE, "Append", "ProcessingTime")
 
 
