@@ -19,10 +19,10 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, key, positions from 0, length): where a term stands in a document, and how many terms that has. Keys are unique."""
+    """(term, key, positions from 0, length): where a term stands in a document, and how many terms that has. Repeated rows of a key count once."""
     words = docs.filter(f"{key} is not null").select(key, terms(F.col(text)).alias("w"))
     rows = words.select(key, F.size("w").alias("length"), F.posexplode("w").alias("at", "term"))
-    return rows.groupBy("term", key, "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return rows.groupBy("term", key, "length").agg(F.sort_array(F.collect_set("at")).alias("positions"))
 
 
 def write_index(docs: DataFrame, key: str, text: str = "text", buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
