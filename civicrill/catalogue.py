@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicrill.plans import budget, extraction, gate, geo, meetings, money, people, persons, planning, search, structure, texts, timeline, votes  # noqa: F401  they register their queries
+from civicrill.plans import budget, extraction, gate, geo, meetings, minutes, money, people, persons, planning, search, structure, texts, timeline, votes  # noqa: F401  they register their queries
 from civicrill.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "counterparty_totals"

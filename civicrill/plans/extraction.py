@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicrill.functions import dates as D
 from civicrill.functions import text as T
+from civicrill.operators.naming import longest_named
 from civicrill.plans.registry import query
 from civicrill.sources.tables import table
 
@@ -133,21 +134,28 @@ def document_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("host").agg(F.min_by("page_id", F.struct("class", -F.col("size"), "page_id")).alias("chosen"), F.count(F.lit(1)).alias("candidates"))
 
 
-DEPARTMENTS = ("odbor rozvoje mesta", "odbor dopravy", "odbor rozvoje mesta a dopravy", "odbor skolstvi")
+def _inflected(words: Column) -> Column:
+    """Longer words with an ending of another case."""
+    return F.array_join(F.transform(F.split(words, " "), lambda w: F.when(F.length(w) >= 5, F.concat(w, F.lit("ovi"))).otherwise(w)), " ")
 
 
-@query("""WITH d AS (SELECT * FROM (VALUES ('odbor rozvoje mesta'), ('odbor dopravy'), ('odbor rozvoje mesta a dopravy'), ('odbor skolstvi')) v(name)), q AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'vyřizuje odbor rozvoje města' WHEN 1 THEN 'postoupeno odboru dopravy a rozvoje města' WHEN 2 THEN 'odboru školství' ELSE 'tajemník' END AS text FROM orders),
-s AS (SELECT id, list_transform(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w[1:5]) AS stems FROM q),
-n AS (SELECT name, list_transform(list_filter(string_split(name, ' '), lambda w: length(w) > 1), lambda w: w[1:5]) AS need FROM d),
-m AS (SELECT id, arg_max(name, length(name)) AS department FROM s JOIN n ON list_has_all(stems, need) WHERE len(need) >= 2 GROUP BY 1) SELECT s.id, department FROM s LEFT JOIN m ON m.id = s.id""")
+_CASES = "array_to_string(list_transform(string_split({0}, ' '), lambda w: CASE WHEN length(w) >= 5 THEN w || 'ovi' ELSE w END), ' ')"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, MIN(p_name) AS name FROM part GROUP BY 1), f AS (SELECT l_orderkey AS id, MIN(l_partkey) AS a, MAX(l_partkey) AS b FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1),
+q AS (SELECT id, concat_ws(' ', 'Vyřizují odboru', {_CASES.format("x.name")}, 'a', {_CASES.format("y.name")}) AS text FROM f LEFT JOIN p x ON x.k = a LEFT JOIN p y ON y.k = b),
+s AS (SELECT id, list_distinct(list_transform(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w[1:5])) AS have FROM q),
+n AS (SELECT name, list_distinct(list_transform(list_filter(string_split(name, ' '), lambda w: length(w) > 1), lambda w: w[1:5])) AS need FROM (SELECT DISTINCT 'odbor ' || p_name AS name FROM part WHERE p_name IS NOT NULL)),
+h AS (SELECT id, unnest(have) AS w FROM s), k AS (SELECT name, len(need) AS size, unnest(need) AS w FROM n WHERE len(need) >= 2), c AS (SELECT id, name FROM h JOIN k USING (w) GROUP BY id, name, size HAVING COUNT(*) = size),
+m AS (SELECT id, MAX({{'l': length(name), 'n': name}}).n AS department FROM c GROUP BY 1) SELECT s.id, department FROM s LEFT JOIN m ON m.id = s.id""")
 def departments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX33: the longest name of a department all of whose stems stand in a sentence; the names are a short list."""
-    k = F.col("o_orderkey")
-    text = _kinds(k, F.lit("vyřizuje odbor rozvoje města"), F.lit("postoupeno odboru dopravy a rozvoje města"), F.lit("odboru školství"), F.lit("tajemník"))
-    stems = F.transform(T.word_list(text), lambda w: F.substring(w, 1, 5))
-    fits = lambda name: F.size(F.array_except(F.array(*[F.lit(w[:5]) for w in name.split() if len(w) > 1]), F.col("stems"))) == 0
-    first = F.coalesce(*[F.when(fits(name), F.lit(name)) for name in sorted(DEPARTMENTS, key=len, reverse=True)])
-    return _orders(spark, sf_dir).select(k.alias("id"), stems.alias("stems")).select("id", first.alias("department"))
+    """TX33: the longest name of a department all of whose words begin words of a sentence. Each name of a part names a department."""
+    p = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.min("p_name").alias("name"))
+    f = table(spark, sf_dir, "lineitem").filter("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
+    both = f.join(p.select(F.col("p_partkey").alias("a"), F.col("name").alias("x")), "a", "left").join(p.select(F.col("p_partkey").alias("b"), F.col("name").alias("y")), "b", "left")
+    sentences = both.select("id", F.concat_ws(" ", F.lit("Vyřizují odboru"), _inflected(F.col("x")), F.lit("a"), _inflected(F.col("y"))).alias("text"))
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("odbor "), "p_name").alias("department"))
+    return longest_named(sentences, names, "id", "text", "department")
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, string_split(p_name, ' ')[1] || 'ovi a ' || string_split(p_name, ' ')[2] || 'em' AS text FROM part), w AS (SELECT id, text, list_transform(string_split(name, ' '), lambda x: CASE WHEN length(x) >= 7 THEN x[1:length(x) - 2] WHEN length(x) >= 5 THEN x[1:length(x) - 1] ELSE x END) AS s FROM t)

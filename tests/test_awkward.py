@@ -54,7 +54,7 @@ def test_nulls_ties_and_repeated_rows(spark, awkward):
 
 
 #: Queries of one key whose results the nulls and repeated rows must not change, against their SQL.
-EXACT = ("vote_totals", "parsing_coverage", "certainty_statistics", "weakest_link", "planning_changes", "reasonable_dates", "personal_keys", "area_discovery", "same_meeting", "suffix_duplicates", "budget_triples", "two_layouts", "source_states", "issue_completeness", "date_steps", "dates_in_text", "section_values", "proposals", "pair_output")
+EXACT = ("vote_totals", "parsing_coverage", "certainty_statistics", "weakest_link", "planning_changes", "reasonable_dates", "personal_keys", "area_discovery", "same_meeting", "suffix_duplicates", "budget_triples", "two_layouts", "source_states", "issue_completeness", "date_steps", "dates_in_text", "section_values", "proposals", "pair_output", "minutes_headers", "minutes_resolutions", "departments")
 
 
 @pytest.mark.parametrize("name", EXACT)
