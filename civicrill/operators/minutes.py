@@ -6,6 +6,8 @@ have is null; an empty list never stands for it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ _POINT = "\n(?=[ \\t]*[0-9]{1,2}[.)][ \\t]+\\p{L})"
 _RESOLVED = "\n(?=[ \\t]*(?i:usnesení)(?:[ \\t]+č\\.[ \\t]*[0-9/]+)?[ \\t]*:)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` has it in many places or in a loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def section(text: Column, heading: str) -> Column:
     """What follows a heading at the start of a line, up to the next heading, numbered point or empty line; null without it."""
     start = f"(?iu)(?:^|\n)[ \\t]*(?:{heading})[ \\t]*:"
@@ -100,30 +107,31 @@ def agenda(text: Column) -> Column:
 
 def direction(text: Column) -> Column:
     """What the body wants, by the first verb of the list that the text has; null without one."""
-    plain = unaccent(text)
-    return F.coalesce(*[F.when(plain.rlike(f"\\b(?:{verb})"), F.lit(name)) for name, verb in DIRECTIONS])
+    return once(unaccent(text), lambda plain: F.coalesce(*[F.when(plain.rlike(f"\\b(?:{verb})"), F.lit(name)) for name, verb in DIRECTIONS]))
 
 
 def adopted(text: Column) -> Column:
     """False where the minutes say that it failed, true where they say that it passed; null where they are silent."""
-    plain = unaccent(text)
-    return F.when(plain.rlike(REFUSED), False).when(plain.rlike(ADOPTED), True)
+    return once(unaccent(text), lambda plain: F.when(plain.rlike(REFUSED), False).when(plain.rlike(ADOPTED), True))
 
 
-def _votes(text: Column, word: str) -> Column:
-    return F.nullif(F.regexp_extract(unaccent(text), f"\\b{word}(?: se)?[ :]{{1,3}}([0-9]{{1,3}})\\b", 1), F.lit("")).try_cast("long")
+def _votes(plain: Column, word: str) -> Column:
+    return F.nullif(F.regexp_extract(plain, f"\\b{word}(?: se)?[ :]{{1,3}}([0-9]{{1,3}})\\b", 1), F.lit("")).try_cast("long")
 
 
 def _cited(body: Column, source: str, around: Column, polled: Column) -> Column:
-    told = F.trim(F.regexp_replace(body, "\\s+", " "))
-    return F.struct(
-        F.lit(source).alias("source"),
-        F.left(told, F.lit(LONGEST)).alias("text"),
-        (F.length(told) > LONGEST).alias("cut"),
-        direction(told).alias("direction"),
-        adopted(around).alias("adopted"),
-        *[_votes(polled, word).alias(name) for name, word in (("in_favour", "pro"), ("against", "proti"), ("abstained", "zdrzel[ai]?"))],
-    )
+    def row(x: Column) -> Column:
+        told = x["told"]
+        return F.struct(
+            F.lit(source).alias("source"),
+            F.left(told, F.lit(LONGEST)).alias("text"),
+            (F.length(told) > LONGEST).alias("cut"),
+            direction(told).alias("direction"),
+            adopted(around).alias("adopted"),
+            *[_votes(x["polled"], word).alias(name) for name, word in (("in_favour", "pro"), ("against", "proti"), ("abstained", "zdrzel[ai]?"))],
+        )
+
+    return once(F.struct(F.trim(F.regexp_replace(body, "\\s+", " ")).alias("told"), unaccent(polled).alias("polled")), row)
 
 
 def _resolved(item: Column) -> Column:
@@ -143,7 +151,12 @@ def _resolved(item: Column) -> Column:
     sentences = F.filter(F.split(F.regexp_replace(opening, "^[^\n]*\n?", ""), "(?<=[.!?])\\s+|\n"), lambda s: s.rlike("(?iu)^\\s*(?:komise|výbor)\\s") & direction(s).isNotNull())
     blocks = F.transform(rest, block)
     said = F.transform(F.array_distinct(sentences), lambda s: _cited(s, "sentence", F.regexp_replace(opening, "^[^\n]*", ""), F.lit(None).cast("string")))
-    return F.filter(F.concat(blocks, F.filter(said, lambda s: ~F.exists(blocks, lambda b: b["text"] == s["text"]))), lambda x: F.length(x["text"]) >= LEAST)
+
+    def told(x: Column) -> Column:
+        new = F.filter(x["said"], lambda s: ~F.exists(x["blocks"], lambda b: b["text"] == s["text"]))
+        return F.filter(F.concat(x["blocks"], new), lambda y: F.length(y["text"]) >= LEAST)
+
+    return once(F.struct(blocks.alias("blocks"), said.alias("said")), told)
 
 
 def resolutions(text: Column) -> Column:
