@@ -23,7 +23,7 @@ def frequencies(tokens: DataFrame, key: str) -> DataFrame:
 
 
 def weighted_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: DataFrame, least: float, weight: Column) -> DataFrame:
-    """(a_key, b_key, shared, overlap, similarity) of all pairs whose similarity is ``least`` or more, which is above 0.
+    """(a_key, b_key, shared, overlap, similarity, rarest) of all pairs whose similarity is ``least`` or more, which is above 0; rarest is the least df of a shared token.
 
     ``weight`` is a positive expression over df. The tokens of a row that the other side has are ordered by frequency, rarest
     first, and each knows what they weigh from there on (rest). At its first shared token a pair has no more overlap
@@ -44,15 +44,15 @@ def weighted_jaccard(a: DataFrame, b: DataFrame, a_key: str, b_key: str, df: Dat
         own = written(own.join(most, k).select(k, "token", "df", "w", total), "side")
         onward = Window.partitionBy(k).orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
         prefix = own.withColumn(rest, F.sum("w").over(onward)).filter(F.col(rest) >= F.col(total) * least - SLACK)
-        return own.select(k, "token", "w", total), prefix.select(k, "token", total, rest)
+        return own.select(k, "token", "df", "w", total), prefix.select(k, "token", total, rest)
 
     (own_a, prefix_a), (own_b, prefix_b) = side(a, a_key, "wa", "__ra"), side(b, b_key, "wb", "__rb")
     met = prefix_a.join(prefix_b, "token").filter(F.least("__ra", "__rb") >= needed)
     pairs = met.select(a_key, b_key).distinct()
     again = pairs.join(own_a, a_key).join(own_b.select(b_key, "token", "wb"), [b_key, "token"])
-    sums = again.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("overlap"), F.first("wa").alias("wa"), F.first("wb").alias("wb"))
+    sums = again.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("overlap"), F.first("wa").alias("wa"), F.first("wb").alias("wb"), F.min("df").alias("rarest"))
     union = F.col("wa") + F.col("wb") - F.col("overlap")
-    out = sums.select(a_key, b_key, "shared", "overlap", F.try_divide(F.col("overlap"), union).alias("similarity"))
+    out = sums.select(a_key, b_key, "shared", "overlap", F.try_divide(F.col("overlap"), union).alias("similarity"), "rarest")
     return out.filter(F.col("similarity") >= least)
 
 

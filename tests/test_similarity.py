@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from civicrill import catalogue
 from civicrill.operators.text_match import frequencies, weighted_jaccard
+from civicrill.plans import texts
 from civicrill.plans.texts import WEIGHT
+from compare import differences
 
 
 def test_weighted_jaccard_finds_frequent_pairs(spark):
@@ -33,3 +36,15 @@ def test_weighted_jaccard_finds_frequent_pairs(spark):
         assert got == want
         # copies of an item beyond any cap on frequencies
         assert sum(all(n[t] > 40 for t in items[i] & docs[d]) for i, d in want) > 40
+
+
+@pytest.mark.parametrize("copies", [39, 40, 41, 60])
+def test_weighted_jaccard_pairs_need_a_rare_token(spark, tmp_path, copies):
+    said = "meadow harvest lantern bridge"
+    docs = [(i, said) for i in range(copies)] + [(1000 + i, f"granite orchard number{i}") for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(1, said), (2, "granite orchard")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    for folder, name in (("d", "documents"), ("b", "benchmark")):
+        next((tmp_path / folder).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    assert differences(spark, str(tmp_path), texts.weighted_jaccard_pairs, catalogue.ORACLE["weighted_jaccard_pairs"]) == ""
+    assert texts.weighted_jaccard_pairs(spark, str(tmp_path)).filter("item_id = 1").count() == (copies if copies <= 40 else 0)
