@@ -133,3 +133,15 @@ def test_czech_order(spark):
     assert collation.placed(df.limit(0), "name").collect() == []
     one = spark.createDataFrame([("Řeka",), ("REKA",), ("rak",)], "name string").groupBy(F.collate("name", collation.CZECH_PLAIN)).count()
     assert one.count() == 3
+
+
+def test_scores_and_phrases_fold_by_document(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma w{i % 7}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, "alpha beta gamma") for i in range(9)], "item_id long, text string")
+    index = search.write_index(docs, "doc_id", buckets=4)
+    ranked, phrases = search.ranked(index, asked, "item_id", "doc_id", 3, buckets=4), search.phrases(index, asked, "item_id", "doc_id", buckets=4)
+    # no row for each question and document, or for each position, is shuffled before it is folded
+    for found, folded in ((ranked, r"hashpartitioning\(item_id#\d+L?, doc_id#"), (phrases, r"explode\(positions")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id#" in plan and not re.search(folded, plan)
+        assert found.select("item_id").distinct().count() == 9
