@@ -84,10 +84,14 @@ def header(text: Column) -> Column:
     """
     lists = {key: named(section(text, heading)) for key, heading in HEADINGS.items()}
     lists |= {key: F.transform(lists[key], member) for key in MEMBERS}
-    kept = {key: F.filter(value, is_name) if key in MEMBERS else value for key, value in lists.items()}
-    damaged = [F.coalesce(F.exists(lists[key], is_run_together), F.lit(False)) for key in MEMBERS]
-    fields = [F.when(F.size(value) > 0, value).alias(key) for key, value in kept.items() if key != "recorder"]
-    return F.struct(*fields, F.get(lists["recorder"], F.lit(0)).alias("recorder"), F.array_contains(F.array(*damaged), True).alias("damaged"))
+
+    def told(x: Column) -> Column:
+        kept = {key: F.filter(x[key], is_name) if key in MEMBERS else x[key] for key in HEADINGS}
+        damaged = [F.coalesce(F.exists(x[key], is_run_together), F.lit(False)) for key in MEMBERS]
+        fields = [F.nullif(value, F.array().cast("array<string>")).alias(key) for key, value in kept.items() if key != "recorder"]
+        return F.struct(*fields, F.get(x["recorder"], F.lit(0)).alias("recorder"), F.array_contains(F.array(*damaged), True).alias("damaged"))
+
+    return once(F.struct(*[value.alias(key) for key, value in lists.items()]), told)
 
 
 def _items(text: Column) -> Column:
