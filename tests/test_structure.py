@@ -122,3 +122,27 @@ def test_reading_order(spark):
     assert [r["box"] for r in got if r["page"] == 1] == [1, 2, 3, 4, 5, 6, 7]
     assert [r["box"] for r in got if r["page"] == 2] == [2, 1] and [r["box"] for r in got if r["page"] == 3] == [1, 1] and len(got) == 11
     assert layout.reading_order(boxes(spark, []), "page").collect() == []
+
+
+def test_reading_order_shuffles_boxes_once(spark):
+    """Repeated boxes, of which one is a heading, and pages longer than a batch; a heading carries no list of what is below it."""
+    rng = random.Random(11)
+    rows = []
+    for p, n in ((1, 40), (2, 25), (3, 700), (4, 1), (5, 60)):
+        for _ in range(n):
+            x, y = float(rng.randrange(3) * 190 + rng.randrange(5)), float(rng.randrange(n * 16))
+            rows.append((p, rng.randrange(n) if p == 5 else len(rows), x, y, x + rng.choice((140.0, 330.0)), y + rng.randrange(3, 15), rng.random() < 0.2))
+    df = boxes(spark, rows)
+    want = layout.reading_order(df, "page").orderBy("page", "place").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        spark.sparkContext.setJobGroup("reading", "")
+        got = layout.reading_order(df, "page")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("reading")  # no rounds, nothing is written on the way
+        assert got.orderBy("page", "place").collect() == want and len(want) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
