@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from civicrill.sources.shared import fresh_path
 
 #: Changes that a key remembers, for how long before the newest, and how long state of a silent key lives (milliseconds).
 KEEP, AGE, TTL = 5, timedelta(days=7), 90 * 24 * 3600 * 1000
-CHANGE = "user_id long, event_id long, ts timestamp, before string, after string, kept int, oldest timestamp"
-#: Lists need this store; a stream whose state may expire would otherwise ask for empty batches without end.
+#: Times are microseconds within the processor.
+CHANGE = "user_id long, event_id long, ts long, before string, after string, kept int, oldest long"
+#: State that may expire needs this store; a stream whose state may expire would otherwise ask for empty batches without end.
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -23,34 +24,28 @@ _SETTINGS = {
 
 def _processor() -> StatefulProcessor:
     """An object of a class of this function, which is sent to the stream's workers by value: they need not find this package."""
+    age = AGE // timedelta(microseconds=1)
 
     class RecentChanges(StatefulProcessor):
-        """The last event and the times of the last changes of a key: one value and a list of KEEP at most."""
+        """The last event of a key and the times of its last changes, KEEP at most, in one value: a key and batch cost one question and one answer to the store."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "ts timestamp, event_id long, event_type string", TTL)
-            self.changes = handle.getListState("changes", "ts timestamp", TTL)
-
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-            new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            last = self.last.get() if self.last.exists() else None
-            kept = [t for (t,) in self.changes.get()] if self.changes.exists() else []
-            out = []
-            for r in new.itertuples():
+            self.state = handle.getValueState("recent", "ts long, event_id long, event_type string, changes array<long>", TTL)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+            last = self.state.get()
+            kept = list(last[3]) if last is not None else []
+            # no frame for a key: most have a few rows
+            for ts, event_id, event_type in sorted((r["ts"], r["event_id"], r["event_type"]) for r in rows):
                 # what is delivered again or late has been counted or can no longer be placed
-                if last is not None and (r.ts, r.event_id) <= (pd.Timestamp(last[0]), last[1]):
+                if last is not None and (ts, event_id) <= (last[0], last[1]):
                     continue
-                if last is not None and r.event_type != last[2]:
-                    kept = [t for t in [*kept, r.ts.to_pydatetime()] if t > r.ts - AGE][-KEEP:]
-                    out.append((key[0], r.event_id, r.ts, last[2], r.event_type, len(kept), kept[0]))
-                last = (r.ts.to_pydatetime(), r.event_id, r.event_type)
+                if last is not None and event_type != last[2]:
+                    kept = [t for t in [*kept, ts] if t > ts - age][-KEEP:]
+                    yield Row(user_id=key[0], event_id=event_id, ts=ts, before=last[2], after=event_type, kept=len(kept), oldest=kept[0])
+                last = (ts, event_id, event_type)
             if last is not None:
-                self.last.update(last)
-            if kept:
-                self.changes.put([(t,) for t in kept])
-            else:
-                self.changes.clear()
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "before", "after", "kept", "oldest"])
+                self.state.update((*last, kept))
 
         def close(self) -> None:
             pass
@@ -67,7 +62,9 @@ def recent_changes(stream: DataFrame) -> DataFrame:
     or event_type are left out.
     """
     known = stream.filter("user_id is not null and ts is not null and event_id is not null and event_type is not null")
-    return known.groupBy("user_id").transformWithStateInPandas(_processor(), CHANGE, "Append", "ProcessingTime")
+    rows = known.select("user_id", F.unix_micros("ts").alias("ts"), "event_id", "event_type")
+    changes = rows.groupBy("user_id").transformWithState(_processor(), CHANGE, "Append", "ProcessingTime")
+    return changes.withColumns({c: F.timestamp_micros(c) for c in ("ts", "oldest")})
 
 
 def drained(result: DataFrame, spark: SparkSession, checkpoint: str | None = None, path: str | None = None) -> DataFrame:

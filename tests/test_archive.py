@@ -6,6 +6,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from civicrill.functions.geodesy import ALLOWED, KNOWN, metres, world
@@ -114,6 +115,37 @@ def test_recent_changes_with_late_and_repeated_events(spark, tmp_path):
     assert rows[1].items() - rows[0].items() == {((1, 60), ("b", "a", 1, day(20))), ((2, 61), ("a", "b", 1, day(3)))}
 
 
+def test_recent_changes_ask_the_store_once_a_key():
+    """Two batches of one key: one question and one answer each, whatever the number of events; rows as over the whole list."""
+    calls = []
+
+    class Store:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    day = 24 * 3600 * 10**6
+    events = [(i * day // 2, i, "aabbcab"[i % 7]) for i in range(300)]
+    changes = [(t, i, before[2], kind) for before, (t, i, kind) in zip(events, events[1:], strict=False) if kind != before[2]]
+    times = [[t for t, *_ in changes[max(0, n - recent.KEEP + 1) : n + 1] if t > changes[n][0] - 7 * day] for n in range(len(changes))]
+    processor = recent._processor()
+    processor.init(Store())
+    got = []
+    for batch in (events[:150], events[100:]):
+        got += processor.handleInputRows((9,), iter([Row(user_id=9, ts=t, event_id=i, event_type=k) for t, i, k in reversed(batch)]), None)
+    assert calls == ["get", "update"] * 2
+    assert [tuple(r) for r in got] == [(9, i, t, before, after, len(k), k[0]) for (t, i, before, after), k in zip(changes, times, strict=True)]
+
+
 def test_known_place(spark):
     df = spark.createDataFrame([KNOWN[0], (0.0, 0.0), (None, 1.0)], "east double, north double")
     got = [r["at"] for r in df.select(world(F.col("east"), F.col("north")).alias("at")).collect()]
