@@ -7,6 +7,7 @@ have is null; an empty list never stands for it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ DIRECTIONS = (
 )
 REFUSED = "\\b(?:nebyl[aoy]? (?:prijat|schvalen)|neprijat|neschvalen|neprosl)"
 ADOPTED = "\\b(?:prijat|schvalen)[aoy]?\\b"
+#: Each text that the two patterns find has one of these.
+STATES = ("prijat", "schvalen", "prosl")
 #: Members only; guests may have their firm in brackets and are kept as they stand.
 MEMBERS = ("present", "absent", "excused", "unexcused")
 #: A resolution is cited up to this length and marked as cut beyond it; shorter than the least it is no more than a heading.
@@ -94,10 +97,14 @@ def header(text: Column) -> Column:
     return once(F.struct(*[value.alias(key) for key, value in lists.items()]), told)
 
 
+def _rest(parts: Column) -> Column:
+    """All but the first."""
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def _items(text: Column) -> Column:
     """The numbered points, each with what stands below it; what comes before the first one is left out."""
-    parts = F.split(F.concat(F.lit("\n"), text), _POINT)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return once(F.split(F.concat(F.lit("\n"), text), _POINT), _rest)
 
 
 def _first_line(item: Column) -> Column:
@@ -109,58 +116,81 @@ def agenda(text: Column) -> Column:
     return F.array_distinct(F.transform(_items(text), lambda x: F.trim(F.regexp_replace(_first_line(x), "^[ \\t]*[0-9]{1,2}[.)][ \\t]+", ""))))
 
 
+def _any(text: Column, *parts: str) -> Column:
+    """Whether a text has one of these; costs far less than a pattern, and tells most texts that a pattern need not be tried."""
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
 def direction(text: Column) -> Column:
     """What the body wants, by the first verb of the list that the text has; null without one."""
-    return once(unaccent(text), lambda plain: F.coalesce(*[F.when(plain.rlike(f"\\b(?:{verb})"), F.lit(name)) for name, verb in DIRECTIONS]))
+    says = lambda plain, verb: _any(plain, *verb.split("|")) & plain.rlike(f"\\b(?:{verb})")
+    return once(unaccent(text), lambda plain: F.coalesce(*[F.when(says(plain, verb), F.lit(name)) for name, verb in DIRECTIONS]))
 
 
 def adopted(text: Column) -> Column:
     """False where the minutes say that it failed, true where they say that it passed; null where they are silent."""
-    return once(unaccent(text), lambda plain: F.when(plain.rlike(REFUSED), False).when(plain.rlike(ADOPTED), True))
+    return once(unaccent(text), _adopted)
+
+
+def _adopted(plain: Column) -> Column:
+    return F.when(_any(plain, *STATES), F.when(plain.rlike(REFUSED), False).when(plain.rlike(ADOPTED), True))
 
 
 def _votes(plain: Column, word: str) -> Column:
-    return F.nullif(F.regexp_extract(plain, f"\\b{word}(?: se)?[ :]{{1,3}}([0-9]{{1,3}})\\b", 1), F.lit("")).try_cast("long")
+    number = F.regexp_extract(plain, f"\\b{word}(?: se)?[ :]{{1,3}}([0-9]{{1,3}})\\b", 1).try_cast("long")  # no match is an empty text, which is no number
+    return F.when(plain.contains(word.split("[")[0]), number)
+
 
+def _cited(body: Column, source: str, state: Column, polled: Column | None) -> Column:
+    """``polled``: a text without marks that tells the poll."""
 
-def _cited(body: Column, source: str, around: Column, polled: Column) -> Column:
-    def row(x: Column) -> Column:
-        told = x["told"]
+    def row(told: Column) -> Column:
         return F.struct(
             F.lit(source).alias("source"),
             F.left(told, F.lit(LONGEST)).alias("text"),
             (F.length(told) > LONGEST).alias("cut"),
             direction(told).alias("direction"),
-            adopted(around).alias("adopted"),
-            *[_votes(x["polled"], word).alias(name) for name, word in (("in_favour", "pro"), ("against", "proti"), ("abstained", "zdrzel[ai]?"))],
+            state.alias("adopted"),
+            *[(F.lit(None).cast("long") if polled is None else _votes(polled, word)).alias(name) for name, word in (("in_favour", "pro"), ("against", "proti"), ("abstained", "zdrzel[ai]?"))],
         )
 
-    return once(F.struct(F.trim(F.regexp_replace(body, "\\s+", " ")).alias("told"), unaccent(polled).alias("polled")), row)
+    return once(F.trim(F.regexp_replace(body, "\\s{2,}|[^\\S ]", " ")), row)  # a single space stays
 
 
 def _resolved(item: Column) -> Column:
     """Blocks under a heading, and sentences of the body itself where it wrote no block.
 
     A block ends before its poll, an empty line or a row of asterisks. Whether it was adopted may be told above the first block,
-    below it, or both; below counts up to the next block, above only for the first one.
+    below it, or both; below counts up to the next block, above only for the first one. What stands above is read once for all
+    sentences in it.
     """
-    parts = F.split(item, _RESOLVED)
-    opening, rest = parts[0], F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
-    def block(part: Column, i: Column) -> Column:
-        body = F.regexp_replace(part, "^[^:]*:", "")
-        around = F.concat_ws("\n", F.when(i == 0, F.regexp_replace(opening, "^[^\n]*", "")), body)
-        return _cited(F.regexp_replace(body, "(?is)(?:\n[ \\t]*\n|\n?[ \\t]*hlasování|\\*{5}|\n[ \\t]*pro[ \\t]*:|\n[^\n]*(?:přijat|schválen)[aoy]?\\.).*$", ""), "block", around, body)
+    def block(part: Column, i: Column, above: Column) -> Column:
+        def told(body: Column) -> Column:
+            own = F.regexp_replace(body, "(?is)(?:hlasování|\\*{5}|\n(?:[ \\t]*(?:\n|pro[ \\t]*:)|[^\n]*(?:přijat|schválen)[aoy]?\\.)).*", "")
+            return once(unaccent(body), lambda plain: _cited(own, "block", once(F.concat_ws("\n", F.when(i == 0, unaccent(above)), plain), _adopted), plain))
 
-    sentences = F.filter(F.split(F.regexp_replace(opening, "^[^\n]*\n?", ""), "(?<=[.!?])\\s+|\n"), lambda s: s.rlike("(?iu)^\\s*(?:komise|výbor)\\s") & direction(s).isNotNull())
-    blocks = F.transform(rest, block)
-    said = F.transform(F.array_distinct(sentences), lambda s: _cited(s, "sentence", F.regexp_replace(opening, "^[^\n]*", ""), F.lit(None).cast("string")))
+        return once(F.substr(part, F.instr(part, ":") + 1), told)
+
+    def sentences(above: Column) -> Column:
+        lines = F.split(F.substr(above, F.lit(2)), "(?<=[.!?])\\s+|\n")
+        own = F.filter(lines, lambda s: s.rlike("(?iu)^\\s*(?:komise|výbor)\\s") & direction(s).isNotNull())
+        return F.when(above.rlike("(?iu)(?:komise|výbor)\\s"), F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
+
+    def said(own: Column, above: Column) -> Column:
+        return once(F.when(F.size(own) > 0, adopted(above)), lambda state: F.transform(own, lambda s: _cited(s, "sentence", state, None)))
 
     def told(x: Column) -> Column:
         new = F.filter(x["said"], lambda s: ~F.exists(x["blocks"], lambda b: b["text"] == s["text"]))
         return F.filter(F.concat(x["blocks"], new), lambda y: F.length(y["text"]) >= LEAST)
 
-    return once(F.struct(blocks.alias("blocks"), said.alias("said")), told)
+    def both(x: Column) -> Column:
+        blocks = F.transform(_rest(x["parts"]), lambda part, i: block(part, i, x["above"]))
+        return once(F.struct(blocks.alias("blocks"), once(sentences(x["above"]), lambda own: said(own, x["above"])).alias("said")), told)
+
+    # ``above``: what stands above the first block, without the title
+    above = lambda parts: once(F.instr(parts[0], "\n"), lambda end: F.when(end > 0, F.substr(parts[0], end)).otherwise(""))
+    return once(once(F.when(item.contains(":"), F.split(item, _RESOLVED)).otherwise(F.array(item)), lambda parts: F.struct(parts.alias("parts"), above(parts).alias("above"))), both)
 
 
 def resolutions(text: Column) -> Column:

@@ -100,3 +100,15 @@ def test_longest_name_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(((i, best(t)) for i, t in sentences), key=key)
     none = spark.createDataFrame([], "name string")
     assert {r[1] for r in longest_named(spark.createDataFrame(sentences, "id long, t string"), none, "id", "t", "name").collect()} == {None}
+
+
+def test_a_point_is_taken_apart_once(spark):
+    """The plan splits a point into its blocks, and looks for its poll, at one place; odd spaces, colons and states change nothing."""
+    texts = ["1. Bod\n\tVýbor \t bere na vědomí zprávu.\nUsnesení:\u00a0Komise souhlasí\ts  tím.  hlasování: PRO : 7\nNeschváleno. Bylo přijato.", "1. Bod: x\nKomise žádá o to.\nNávrh byl schválen.\n2. Jen titul", "1. Bod\nUsnesení: Komise žádá o to.\n pro: 3\nUsnesení: *****"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(resolutions(F.col("text")).alias("r"))
+    got = [[(r["point"], r["source"], r["text"], r["direction"], r["adopted"], r["in_favour"]) for r in row["r"]] for row in df.collect()]
+    assert got[1] == [(1, "sentence", "Komise žádá o to.", "asks", True, None)]
+    assert got[2] == [(1, "block", "Komise žádá o to.", "asks", None, 3)]
+    assert [r[1] for r in got[0]] == ["block", "sentence"] and got[0][0][3:] == ("agrees", False, 7) and got[0][1][2] == "Výbor bere na vědomí zprávu."
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("usnesení") == 1 and plan.count("zdrzel") == 2  # the pattern, and the text that says whether to try it
